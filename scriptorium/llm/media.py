@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.storage import bounded_batches
 
-RATE, FRAME, HOP, FAN, BLOCK_FRAMES = 8000, 512, 512, 3, 4096
+RATE, FRAME, HOP, FAN, BLOCK_FRAMES = 8000, 256, 128, 3, 4096
 #: Bounds of the bands of bins in which a frame's peaks are sought; bin 0, the mean, is in none.
-BANDS = (1, 16, 40, 90, 160, 257)
+BANDS = (1, 8, 20, 45, 80, 129)
 #: A peak's magnitude is at least so many times the mean of its frame.
 STANDS_OUT = 1.5
 
