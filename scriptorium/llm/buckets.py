@@ -22,21 +22,22 @@ def dealt(rows: DataFrame, n_rows: int, block_rows: int, spread: str) -> DataFra
 
     ``n_rows`` is about how many rows there are; it sets how many counters are used to find hot buckets. A
     counter may be shared by several buckets, which can only lead to more blocks than needed. ``spread`` is the
-    column whose hash deals a hot bucket's rows into blocks. ``meet`` is -1 for a bucket that isn't cut, else it
-    numbers a pair of blocks.
+    column whose hash deals a hot bucket's rows into blocks. ``meet`` is -2 for a bucket that isn't cut, else it
+    numbers a pair of blocks; it is odd if the blocks differ, so that only pairs of rows across them are due there.
     """
     counters = 1 << max(10, int(8 * n_rows / block_rows).bit_length())
     slot = F.pmod(F.xxhash64("tab", "key"), F.lit(counters))
     heavy = rows.groupBy(slot.alias("slot")).count().where(F.col("count") > block_rows)
     heavy = materialise(heavy.select("slot", F.ceil(F.col("count") / block_rows).cast("int").alias("n_blocks")))
     if not heavy.head(1):
-        out = rows.withColumns({"block": F.lit(0), "meet": F.lit(-1).cast("long")})
+        out = rows.withColumns({"block": F.lit(0), "meet": F.lit(-2).cast("long")})
     else:
         cut = rows.withColumn("slot", slot).join(heavy, "slot", "left").drop("slot")
         n = F.col("n_blocks")
         cut = cut.withColumn("block", F.when(n.isNull(), 0).otherwise(F.pmod(F.hash(spread), n)))
-        meets = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least("block", j).cast("long") * n + F.greatest("block", j))
-        out = cut.withColumn("meet", F.explode(F.when(n.isNull(), F.array(F.lit(-1).cast("long"))).otherwise(meets))).drop("n_blocks")
+        pair = lambda j: F.least("block", j).cast("long") * n + F.greatest("block", j)
+        meets = F.transform(F.sequence(F.lit(0), n - 1), lambda j: 2 * pair(j) + (j != F.col("block")).cast("int"))
+        out = cut.withColumn("meet", F.explode(F.when(n.isNull(), F.array(F.lit(-2).cast("long"))).otherwise(meets))).drop("n_blocks")
     return out.repartition("tab", "key", "meet").sortWithinPartitions("tab", "key", "meet")
 
 

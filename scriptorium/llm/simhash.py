@@ -179,7 +179,7 @@ def _linked(table: pa.Table, starts: np.ndarray, names: list[str], distance: int
         n = size[some]
         left = np.repeat(some, n)
         right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[some], n)
-        new = (right > left) | probe[right]
+        new = ((right > left) | probe[right]) & ((meet[left] % 2 == 0) | (block[left] != block[right]))
         left, right = left[new], right[new]
         apart = np.zeros(len(left), np.uint8)
         for word in prints:
