@@ -17,7 +17,7 @@ from scriptorium.llm.storage import discard, materialise
 def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node that has an edge to another one with the smallest node it can reach.
 
-    ``edges`` has two LONG columns ``a`` and ``b``, in any order, repeats and self-loops allowed; rows with a
+    ``edges`` has two columns ``a`` and ``b`` of one orderable type (ids, or names such as URLs), in any order, repeats and self-loops allowed; rows with a
     null end are no edge. Returns ``node``, ``component``; the smallest node of a component is included. An
     empty edge table gives an empty result.
     """

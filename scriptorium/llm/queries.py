@@ -18,6 +18,16 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+#: The rules of op5's contract: verdict, then host and path.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.url_filter import judge
+
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.simhash import near_duplicates
 
@@ -35,6 +45,12 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.mixing import described, mix
+
+    return mix(described(_table(spark, sf_dir, "documents")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,8 +61,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_url_filters": op5_url_filters,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_media_columns": op8_media_columns,
+    "op9_source_mixing": op9_source_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
