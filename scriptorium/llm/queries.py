@@ -20,6 +20,17 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.quality_gam import held_out, learn, score
+
+    docs = _table(spark, sf_dir, "documents")
+    model = learn(docs, _table(spark, sf_dir, "labels"))
+    out = score(docs.select("doc_id", "text"), model)
+    return out.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.embedding_dedup import near_duplicate_vectors
 
@@ -69,6 +80,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_url_filters": op5_url_filters,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
