@@ -55,6 +55,18 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.pii import KINDS, find, joined
+
+    out = find(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _is_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+
+
+def _is_kind(number: int):
+    return lambda span: span["kind"] == number
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.simhash import near_duplicates
 
@@ -92,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_url_filters": op5_url_filters,
+    "op6_pii": op6_pii,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_media_columns": op8_media_columns,
     "op9_source_mixing": op9_source_mixing,
