@@ -2,9 +2,231 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from scriptorium.functions import flow
+from scriptorium.functions.dialect import DUCK, Dialect
+from scriptorium.operators import convert, entities, indic, language, ngrams, safety, text
+from scriptorium.plans import learning
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+#: A few lines in scripts of India, as the driver's tables have none.
+INDIC_LINES = (
+    (1, "मेरा नाम राम है। यह 10 , 000 रुपये का है|", "hi"),
+    (2, "क़लम फ़िल्म ज़रूर — “अच्छा” है:", "hi"),
+    (3, "आज traffic बहुत है, let us go now!", "hi"),
+    (4, "मी घरी जात आहे. डॉ. शिंदे 3.14 म्हणाले.", "mr"),
+    (5, "", "hi"),
+    (6, "कंप्यूटर और संस्कृत", "hi"),
+)
+_INDIC_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, {DUCK.text(t)}, '{lang}')" for i, t, lang in INDIC_LINES) + ") v(id, text, lang))"
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _indic(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(INDIC_LINES, "id int, text string, lang string")
+
+
+def _row_query(name: str, steps: flow.Steps, keep: Sequence[str], table: str = "documents", columns: Sequence[str] = ("doc_id", "text")) -> None:
+    """A query whose rows are a table's rows."""
+    QUERIES[name] = lambda spark, sf_dir: flow.apply(_read(spark, sf_dir, table).select(*columns), steps, keep)
+    ORACLES[name] = flow.sql(table, steps, keep)
+
+
+def _sum_query(name: str, steps: flow.Steps, table: str, columns: Sequence[str], query: str) -> None:
+    """A query that runs SQL, spelt alike in both dialects, over the rows that ``steps`` give; ``{src}`` names them."""
+    QUERIES[name] = lambda spark, sf_dir: spark.sql(query, src=flow.apply(_read(spark, sf_dir, table).select(*columns), steps))
+    ORACLES[name] = query.replace("{src}", f"({flow.sql(table, steps, ['*'])})")
+
+
+def _chain(*parts: flow.Steps) -> flow.Steps:
+    return lambda d: [s for p in parts for s in p(d)]
+
+
+def _one(**columns: Callable[[Dialect], str]) -> flow.Steps:
+    return lambda d: [{n: f(d) for n, f in columns.items()}]
+
+
+# ---- script, cleaning, hashes
+
+_sum_query(
+    "text_composition", text.composition, "documents", ["doc_id", "text", "lang"],
+    "SELECT lang, dominant_script, count(*) AS docs, round(avg(indic_percentage), 6) AS indic, round(avg(latin_percentage), 6) AS latin, "
+    "round(avg(numeric_percentage), 6) AS digits, round(avg(punctuation_percentage), 6) AS punctuation, round(avg(other_percentage), 6) AS other "
+    "FROM {src} GROUP BY lang, dominant_script",
+)
+_row_query("script_detect", _chain(text.composition, text.script), ["doc_id", "script_lang", "dominant_script", "has_both_scripts", "indic_percentage", "latin_percentage"])
+_row_query("text_stats", text.statistics, ["doc_id", "text_length", "word_count"])
+_row_query("text_validation", text.validity, ["doc_id", "is_valid", "problem"])
+_row_query("clean_text", text.cleaned, ["doc_id", "clean"])
+_row_query("clean_text_aggressive", lambda d: text.cleaned(d, "aggressive"), ["doc_id", "clean"])
+_row_query("clean_text_minimal", lambda d: text.cleaned(d, "minimal"), ["doc_id", "clean"])
+_row_query("contractions", _one(expanded=text.contractions), ["doc_id", "expanded"])
+_row_query("ordinals", _one(expanded=text.ordinals), ["doc_id", "expanded"])
+_row_query("normalize_slang", text.normalized, ["doc_id", "normalized"])
+_row_query("text_hash", text.hashes, ["doc_id", "text_hash", "analysis_key"])
+_row_query("text_signature", text.signature, ["doc_id", "signature"])
+_row_query("length_bucket", text.length_bucket, ["doc_id", "threshold"])
+
+# ---- language
+
+_row_query("lang_code_normalize", lambda d: language.code(d), ["doc_id", "code"], columns=("doc_id", "text", "lang"))
+_row_query("lang_display_name", lambda d: [*language.code(d, suffixes=False), *language.display_name(d)], ["doc_id", "code", "language_name"], columns=("doc_id", "text", "lang"))
+
+
+def _scores(d: Dialect) -> list[dict[str, str]]:
+    return [*language.romanized_scores(d), {f"n_{k}": d.long(f"m_{k}") for k in ("mar", "hin", "tam", "generic")}]
+
+
+_row_query("romanized_scores", _scores, ["doc_id", "n_mar", "n_hin", "n_tam", "n_generic", "s_mar", "s_hin", "s_tam"])
+_row_query("romanized_detect", language.romanized, ["doc_id", "rom_lang", "rom_conf"])
+_row_query("codemix_detect", language.signals, ["doc_id", "is_code_mixed", "mix_method", "mix_primary", "mix_conf", "r_indic", "r_english"])
+_row_query("english_ratio", language.english_ratio, ["doc_id", "english_ratio", "is_english", "english_conf"])
+_row_query("detect_language_rules", lambda d: [*language.signals(d), *language.detect(d, ngram=False)], ["doc_id", "language", "method", "confidence"])
+
+
+def _lid(d: Dialect) -> list[dict[str, str]]:
+    """A model's results, as the ensemble takes them: here the table's own language with a made-up confidence."""
+    names = {"en": "eng", "de": "deu", "fr": "fra", "es": "spa"}
+    steps = [{"lid_lang": d.lookup("lang", names, "'hin'"), "lid_conf": f"{d.double('doc_id % 100')} / 100e0"}]
+    return [*steps, *language.romanized(d), *language.english_ratio(d), *language.ensemble(d)]
+
+
+_row_query("ensemble_ladder", _lid, ["doc_id", "final_language", "final_confidence", "ensemble_method"], columns=("doc_id", "text", "lang"))
+
+QUERIES["ngram_profile"] = lambda spark, sf_dir: ngrams.profile_table(spark).select("lang", "ngram", F.round("freq", 12).alias("freq"))
+ORACLES["ngram_profile"] = f"SELECT lang, ngram, round(freq, 12) AS freq FROM {ngrams.profile_sql()}"
+
+
+def ngram_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.extract(_read(spark, sf_dir, "documents")).groupBy("ngram").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+QUERIES["ngram_extract"] = ngram_extract
+ORACLES["ngram_extract"] = f"SELECT ngram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM {ngrams.extract_sql()} GROUP BY ngram"
+QUERIES["ngram_predict"] = lambda spark, sf_dir: ngrams.predict(_read(spark, sf_dir, "documents"))
+ORACLES["ngram_predict"] = ngrams.predict_sql()
+
+
+def detect_language_nomodel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    joined = docs.join(ngrams.predict(docs), "doc_id", "left")
+    return flow.apply(joined, lambda d: [*language.signals(d), *language.detect(d)], ["doc_id", "language", "method", "confidence"])
+
+
+QUERIES["detect_language_nomodel"] = detect_language_nomodel
+ORACLES["detect_language_nomodel"] = flow.sql(
+    f"(SELECT d.doc_id, d.text, g.ng_lang, g.ng_conf FROM documents d LEFT JOIN ({ngrams.predict_sql()}) g ON g.doc_id = d.doc_id)",
+    lambda d: [*language.signals(d), *language.detect(d)], ["doc_id", "language", "method", "confidence"],
+)
+
+# ---- profanity, entities
+
+_row_query("profanity_detect", safety.profanity, ["doc_id", "has_profanity", "severity_score", "max_severity", "detected_words", "profane_words"])
+_row_query("profanity_stats", safety.profanity_statistics, ["doc_id", "total_words", "profane_words", "profanity_percentage", "is_safe"])
+_row_query("profanity_mask", safety.masked, ["doc_id", "masked"])
+_row_query("financial_entities", entities.financial, ["doc_id", "currencies", "amounts", "units_of_amounts", "percentages", "tickers", "terms", "is_financial"])
+_row_query("temporal_entities", entities.temporal, ["doc_id", "dates", "times", "relative_dates", "months", "days", "is_temporal"])
+_row_query("technical_entities", entities.technical, ["doc_id", "functions", "scientific_numbers", "measures", "keywords", "domains", "is_technical"])
+_sum_query(
+    "domain_flags", _chain(entities.financial, entities.temporal, entities.technical), "documents", ["doc_id", "text", "lang"],
+    "SELECT lang, is_financial, is_temporal, is_technical, count(*) AS docs FROM {src} GROUP BY lang, is_financial, is_temporal, is_technical",
+)
+_row_query("date_mark", _one(marked=entities.marked_dates), ["doc_id", "marked"])
+_row_query("code_mark", _one(marked=entities.marked_code), ["doc_id", "marked"])
+_row_query("currency_remove", _one(removed=entities.without_amounts), ["doc_id", "removed"])
+
+# ---- conversion, translation
+
+_row_query("token_convert", convert.converted, ["doc_id", "converted_text"])
+_row_query("conversion_stats", convert.converted, ["doc_id", "total_tokens", "converted_tokens", "preserved_tokens", "failed_tokens", "conversion_rate", "conversion_method"])
+_TARGETS = ("en", "hi", "mr", "ta")
+
+
+def translate_targets_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text for each of a fixed list of targets; without a translator the result says so."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("source_language"))
+    out = docs.withColumn("target_language", F.explode(F.array(*(F.lit(t) for t in _TARGETS))))
+    return out.select("doc_id", "source_language", "target_language", F.lit(False).alias("success"), F.lit("no translator").alias("error"))
+
+
+QUERIES["translate_targets_cross"] = translate_targets_cross
+ORACLES["translate_targets_cross"] = (
+    "SELECT doc_id, lang AS source_language, t AS target_language, false AS success, 'no translator' AS error FROM documents CROSS JOIN (VALUES "
+    + ", ".join(f"('{t}')" for t in _TARGETS) + ") v(t)"
+)
+
+# ---- scripts of India
+
+
+def _indic_query(name: str, steps: flow.Steps, keep: Sequence[str]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: flow.apply(_indic(spark), steps, keep)
+    ORACLES[name] = flow.sql(_INDIC_SQL, steps, keep)
+
+
+_indic_query("indic_tokenize", indic.tokenized, ["id", "tokens"])
+_indic_query("indic_normalize", indic.normalized, ["id", "normalized"])
+_indic_query("indic_composition", _chain(text.composition, text.script), ["id", "script_lang", "dominant_script", "indic_percentage", "latin_percentage"])
+_indic_query("indic_detect", lambda d: [*language.signals(d), *language.detect(d, ngram=False)], ["id", "language", "method", "confidence"])
+_indic_query("indic_codemix", language.signals, ["id", "is_code_mixed", "mix_method", "mix_primary", "mix_conf"])
+_indic_query(
+    "script_transliterate",
+    _one(**{f"to_{t}": (lambda t: lambda d: indic.moved(d, "hi", t))(t) for t in ("bn", "kn", "ta", "te", "gu", "ml", "or", "pa")}),
+    ["id", "to_bn", "to_kn", "to_ta", "to_te", "to_gu", "to_ml", "to_or", "to_pa"],
+)
+_row_query("document_tokenize", indic.tokenized, ["doc_id", "tokens"])
+QUERIES["sentence_split"] = lambda spark, sf_dir: _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(indic.sentences(F.col("text"), "en")).alias("pos", "sentence"))
+QUERIES["syllabify"] = lambda spark, sf_dir: _indic(spark).select("id", indic.syllables(F.col("text")).alias("syllables"))
+QUERIES["phonetic_sim_matrix"] = lambda spark, sf_dir: indic.similarity_matrix(spark)
+_sum_query(
+    "wc", lambda d: [{"lines_": d.size(d.find_all("text", "\n")), "words_": d.size(d.words("text"))}], "documents", ["doc_id", "text"],
+    "SELECT cast(sum(lines_) AS bigint) AS lines, cast(sum(words_) AS bigint) AS words, cast(sum(length(text)) AS bigint) AS chars FROM {src}",
+)
+
+# ---- learning: logs, caches, limits
+
+for _name, (_table, _columns, _steps, _query) in learning.LOG_QUERIES.items():
+    _sum_query(_name, _steps, _table, _columns, _query)
+
+
+def pattern_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.cache_replay(flow.apply(_read(spark, sf_dir, "documents").select("doc_id", "text"), learning.observed))
+
+
+QUERIES["cache_hits_simulated"] = pattern_cache_replay
+ORACLES["cache_hits_simulated"] = learning.cache_replay_sql()
+
+
+# ---- the whole analysis
+
+
+def _analysis(d: Dialect) -> list[dict[str, str]]:
+    return [
+        *language.signals(d), *language.detect(d, ngram=False), *safety.profanity(d), *entities.financial(d), *entities.temporal(d), *entities.technical(d), *text.cleaned(d),
+        *language.display_name(d, "split_part(language, '_', 1)"),
+        {"sentiment_label": "'unknown'", "sentiment_confidence": "0e0", "max_toxicity": "0e0"},
+    ]
+
+
+_COMPACT = ["doc_id", "language", "language_name", "confidence", "method", "is_code_mixed", "has_profanity", "max_severity", "is_financial", "is_temporal", "is_technical", "clean", "sentiment_label", "sentiment_confidence", "max_toxicity"]
+_row_query("analyze_compact", _analysis, _COMPACT)
+_row_query("analyze_conversations", _analysis, ["conv_id", "turn", "language", "method", "has_profanity", "max_severity"], "conversations", ["conv_id", "turn", "text"])
+_sum_query(
+    "batch_summary", _analysis, "documents", ["doc_id", "text"],
+    "SELECT language, method, count(*) AS docs, cast(count_if(has_profanity) AS bigint) AS profane, cast(count_if(is_code_mixed) AS bigint) AS mixed FROM {src} GROUP BY language, method",
+)
+_row_query("sentiment_fallback", _one(label=lambda d: "'unknown'", confidence=lambda d: "0e0", model_used=lambda d: "'none'"), ["doc_id", "label", "confidence", "model_used"])
+_row_query(
+    "toxicity_fallback",
+    _one(**{k: (lambda d: "0e0") for k in ("toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate")}),
+    ["doc_id", "toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate"],
+)
