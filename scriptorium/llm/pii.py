@@ -79,7 +79,7 @@ def _digits(value: Column) -> Column:
 def luhn(digits: Column) -> Column:
     """Whether a string of at most 19 digits passes the Luhn check."""
     turned = F.split(F.reverse(digits), "")
-    each = F.transform(turned, lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0)))
+    each = F.transform(turned, lambda d, i: F.when(i % 2 == 0, d.try_cast("int")).otherwise(d.try_cast("int") * 2 - F.when(d.try_cast("int") > 4, 9).otherwise(0)))
     return F.when(F.length(digits).between(1, 19), F.aggregate(each, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0))) % 10 == 0).otherwise(False)
 
 
@@ -138,7 +138,7 @@ def with_features(text: Column, spans: Column) -> Column:
             "size": F.length(value),
             "digits": F.length(digits),
             "luhn": luhn(digits).cast("int"),
-            "lead": F.coalesce(F.substring(digits, 1, 1).cast("int"), F.lit(-1)),
+            "lead": F.coalesce(F.substring(digits, 1, 1).try_cast("int"), F.lit(-1)),
             "separators": F.length(F.regexp_replace(value, "[^ ().-]", "")),
             "distinct": F.size(F.array_distinct(F.split(digits, ""))),
             "octets": value.rlike(OCTETS).cast("int"),
