@@ -5,7 +5,7 @@ stay. High-recall generators then propose more spans, which may overlap: numbers
 national phone formats, obfuscated addresses. Boosted trees judge each proposal by features of its format and context;
 they are fitted on the driver to a fixed number of made-up examples, whose features the same column expressions
 compute, and become column expressions themselves. Each kind's threshold is calibrated on examples left out of the fit.
-A proposal that overlaps a base span, or a better proposal of its kind, is left out.
+A proposal that overlaps a base span, or a longer (then a better) proposal of its kind, is left out.
 
 The patterns match what their plain forms match, but start only where a run starts and never give back characters,
 so that a long run of digits or letters takes linear time and no stack.
@@ -295,7 +295,9 @@ def _with_spans(rows: DataFrame, text: Column, added: str, base: str) -> DataFra
     found = found.withColumn(added, F.filter(added, lambda s: s["score"] >= F.element_at(limit, s["kind"] + 1)))
 
     def best(s: Column) -> Column:
-        better = lambda o: (o["score"] > s["score"]) | ((o["score"] == s["score"]) & ((o["start"] < s["start"]) | ((o["start"] == s["start"]) & (o["end"] > s["end"]))))
+        size = lambda x: x["end"] - x["start"]
+        rank = lambda x: F.struct(size(x).alias("size"), x["score"].alias("score"), (-x["start"]).alias("start"))
+        better = lambda o: rank(o) > rank(s)
         return ~F.exists(added, lambda o: (o["kind"] == s["kind"]) & (o["start"] < s["end"]) & (s["start"] < o["end"]) & better(o))
 
     return found.withColumn(added, F.transform(F.filter(added, best), _short))
