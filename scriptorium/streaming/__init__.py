@@ -1 +1 @@
-
+"""Keyed state over streams of requests."""
