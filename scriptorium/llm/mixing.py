@@ -16,12 +16,16 @@ their fate. A null ``doc_id`` hashes like a value. An empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from scriptorium.llm.storage import bounded_batches, materialise
 
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -43,35 +47,42 @@ class MixParams:
     max_cells: int = 1_000_000
 
 
-def token_count(text: Column) -> Column:
-    """Number of runs of characters that are no white space."""
-    trimmed = F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
-    return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(F.split(trimmed, r"[ \t\n\x0B\f\r]+"))).cast("long")
+def text_form(text: bytes) -> tuple[int, str]:
+    """The number of words of a UTF-8 text, and a topic by its form, for tables that have no topic column."""
+    tokens = len(text.split())
+    size = max(1, len(text))
+    share = lambda chars: (len(text) - len(text.translate(None, chars))) / size
+    if not tokens:
+        return 0, "empty"
+    if share(b"|\t") > 0.02:
+        return tokens, "table"
+    if share(b"#$%&*<>{}=_") > 0.05:
+        return tokens, "markup"
+    if share(b"0123456789") > 0.1:
+        return tokens, "figures"
+    return tokens, "note" if tokens < 60 else "article" if tokens < 600 else "long read"
+
+
+def _with_form(rows: DataFrame, topic: str | None) -> DataFrame:
+    """``rows``, whose last column is ``text``, with ``n_tokens`` and ``topic`` in its place."""
+    bounded_batches(rows.sparkSession)
+    kept = T.StructType([f for f in rows.schema.fields if f.name != "text"])
+    out = T.StructType([*kept.fields, T.StructField("n_tokens", T.LongType()), *([] if topic else [T.StructField("topic", T.StringType())])])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [text_form(t.as_py() or b"") for t in batch.column(batch.num_columns - 1)]
+            more = [pa.array([m[0] for m in made], pa.int64()), *([] if topic else [pa.array([m[1] for m in made], pa.string())])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], out.names)
 
-def form_topic(text: Column, tokens: Column) -> Column:
-    """A topic by the form of a text, for tables that have no topic column: a rule over counts of characters."""
-    size = F.greatest(F.length(text), F.lit(1))
-    share = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / size
-    return (
-        F.when(tokens == 0, "empty")
-        .when(share("|\t") > 0.02, "table")
-        .when(share("#$%&*<>{}=_") > 0.05, "markup")
-        .when(share("0123456789") > 0.1, "figures")
-        .when(tokens < 60, "note")
-        .when(tokens < 600, "article")
-        .otherwise("long read")
-    )
+    return rows.mapInArrow(run, out)
 
 
-def described(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """``doc_id``, the three categories and ``n_tokens`` of each row."""
-    tokens = token_count(F.col("text"))
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col("text").cast("string").alias("text"), *([topic.alias("topic")] if topic is not None else []))
-    some = some.withColumn("n_tokens", tokens)
-    if topic is None:
-        some = some.withColumn("topic", form_topic(F.coalesce("text", F.lit("")), F.col("n_tokens")))
-    return some.select("doc_id", *(F.col(c).cast("string").alias(c) for c in DIMENSIONS), "n_tokens")
+def described(docs: DataFrame, topic: str | None = None) -> DataFrame:
+    """``doc_id``, the three categories and ``n_tokens`` of each row; ``topic`` names a column, else it follows from the text."""
+    names = ["source", "lang"] + ([topic] if topic else [])
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias("topic" if c == topic else c) for c in names), F.col("text").cast("string").cast("binary").alias("text"))
+    return _with_form(some, topic).select("doc_id", *DIMENSIONS, "n_tokens")
 
 
 def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int, tolerance: float) -> np.ndarray:
@@ -111,7 +122,21 @@ def calibrated(tokens: np.ndarray, weight: np.ndarray, budget: float) -> np.ndar
 
 
 def mix(described_docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """Add ``weight``, ``probability`` and ``selected`` to what ``described`` gives."""
+    """Add ``weight``, ``probability`` and ``selected`` to what ``described`` gives, which is written out first."""
+    described_docs = materialise(described_docs)
+    return described_docs.join(F.broadcast(_chances(described_docs, params)), _same_cell(), "inner").drop(*(f"{d}_" for d in DIMENSIONS)).withColumn("selected", _selected(params))
+
+
+def _same_cell() -> list[Column]:
+    return [F.col(d).eqNullSafe(F.col(f"{d}_")) for d in DIMENSIONS]
+
+
+def _selected(params: MixParams) -> Column:
+    return chosen(F.col("doc_id"), params.seed) < F.col("probability")
+
+
+def _chances(described_docs: DataFrame, params: MixParams) -> DataFrame:
+    """A weight and a probability for each cell: at most ``max_cells`` rows, so that they can be broadcast."""
     spark = described_docs.sparkSession
     cells = described_docs.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).limit(params.max_cells + 1).collect()
     if len(cells) > params.max_cells:
@@ -132,10 +157,7 @@ def mix(described_docs: DataFrame, params: MixParams = MixParams()) -> DataFrame
     chance = calibrated(tokens, weight, params.budget * tokens.sum()) if cells else weight
     rows = [(*(r[d] for d in DIMENSIONS), float(w), float(p)) for r, w, p in zip(cells, weight, chance)]
     schema = ", ".join(f"{d}_ string" for d in DIMENSIONS) + ", weight double, probability double"
-    same = [F.col(d).eqNullSafe(F.col(f"{d}_")) for d in DIMENSIONS]
-    # at most max_cells rows
-    out = described_docs.join(F.broadcast(spark.createDataFrame(rows, schema)), same).drop(*(f"{d}_" for d in DIMENSIONS))
-    return out.withColumn("selected", chosen(F.col("doc_id"), params.seed) < F.col("probability"))
+    return spark.createDataFrame(rows, schema)
 
 
 def chosen(doc_id: Column, seed: int) -> Column:
@@ -143,11 +165,17 @@ def chosen(doc_id: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11) / F.lit(float(1 << 53))
 
 
-def sample(docs: DataFrame, params: MixParams = MixParams(), topic: Column | None = None) -> DataFrame:
-    """The rows of ``docs`` that are selected, with all their columns."""
-    inner = "__scriptorium_"
-    held = docs.select(F.struct("*").alias(f"{inner}row"), "doc_id", "text", "source", "lang")
-    tokens = held.withColumn("n_tokens", token_count(F.col("text").cast("string")))
-    made = tokens.withColumn("topic", form_topic(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("n_tokens")) if topic is None else topic)
-    made = made.select(f"{inner}row", F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in DIMENSIONS), "n_tokens")
-    return mix(made, params).where("selected").select(f"{inner}row.*")
+def sample(docs: DataFrame, params: MixParams = MixParams(), topic: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that are selected, with all their columns.
+
+    The cells' probabilities come from a first pass over the texts, which writes ids, categories and counts only.
+    """
+    about = materialise(described(docs, topic))
+    names = ["source", "lang"] + ([topic] if topic else [])
+    # a row travels as one column, so that no column of it can clash with those that are added
+    held = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        *(F.col(c).cast("string").alias("topic" if c == topic else c) for c in names), F.col("text").cast("string").cast("binary").alias("text"),
+    )
+    made = _with_form(held, topic).join(F.broadcast(_chances(about, params)), _same_cell())
+    return made.where(_selected(params)).select("row.*")
