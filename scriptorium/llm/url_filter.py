@@ -1,9 +1,9 @@
 """URL filters by redirect equivalence.
 
 Every page's URL gets a canonical form (scheme, ``www.``, fragment, tracking parameters, index files and trailing
-slashes are what sites redirect away). Edges join a URL to its canonical form, to the target of a canonical link and
-to the target of a refresh in its HTML, if that target is an absolute URL. Connected components over these edges are the
-sets of aliases. A page that a rule fits has the rule's verdict. Any other page takes over a decision from its
+slashes are what sites redirect away). Edges join a URL's canonical form to that of the target of a canonical link and
+of a refresh in its HTML, if that target is an absolute URL. Connected components over these edges are the sets of
+aliases. A page that a rule fits has the rule's verdict. Any other page takes over a decision from its
 aliases: allowed if a rule allows one of them, else blocked if a rule blocks one, else allowed.
 
 Rules are matched natively: a host's suffixes are looked up in a map of the rule hosts, of which there are few (the list
@@ -68,40 +68,41 @@ def canonical_url(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(F.lit("http://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
-def alias_edges(pages: DataFrame) -> DataFrame:
-    """Edges ``one``, ``two`` between URLs: to the canonical form, the canonical link and the refresh target."""
+def links(pages: DataFrame) -> DataFrame:
+    """``url`` and ``target`` of each absolute canonical link or refresh target in the pages' HTML."""
     html = F.col("html").cast("string")
-    targets = F.array(
-        canonical_url(F.col("url")),
-        *(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in (CANONICAL, REFRESH)),
-    )
-    found = pages.select("url", F.explode(targets).alias("target")).where("target IS NOT NULL AND instr(target, '://') > 0")
-    direct = found.select(F.col("url").alias("one"), F.col("target").alias("two"))
-    # a target is a URL itself, with a canonical form of its own
-    onward = found.where(F.col("target") != canonical_url(F.col("url"))).select(F.col("target").alias("one"), canonical_url(F.col("target")).alias("two"))
-    return direct.union(onward).where("one <> two").distinct()
+    found = [
+        F.when(F.contains(F.lower(html), F.lit(word)), F.nullif(F.regexp_extract(html, pattern, 1), F.lit("")))
+        for word, pattern in (("canonical", CANONICAL), ("http-equiv", REFRESH))
+    ]
+    out = pages.select("url", F.explode(F.array(*found)).alias("target"))
+    return out.where("instr(target, '://') > 0 AND instr(url, '://') > 0")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row per row of ``pages``: ``page_id, host, path, rule, verdict``, and ``decided_by`` (rule, alias or default)."""
+    """One row per row of ``pages``: ``page_id, host, path, rule, verdict``, and ``decided_by`` (rule, alias or default).
+
+    URLs with one canonical form are aliases without further ado, so the components are those of canonical forms.
+    """
     verdicts = dict((rule, verdict) for verdict, rule in rules)
     some = pages.select("page_id", F.col("url").cast("string").alias("url"), "html")
-    edges = materialise(alias_edges(some))
-    nodes = edges.select(F.col("one").alias("url")).union(edges.select(F.col("two").alias("url"))).distinct()
-    nodes = nodes.withColumn("own", _verdict(F.col("url"), rules, verdicts))
-    members = connected_components(edges.select(F.col("one").alias("a"), F.col("two").alias("b"))).withColumnRenamed("node", "url")
-    known = nodes.join(members, "url", "left").select("url", "own", F.coalesce("component", "url").alias("component"))
-    known = materialise(known)
-    decided = known.where("own IS NOT NULL").groupBy("component").agg(F.min("own").alias("taken"))  # allow comes before block
-    taken = known.join(decided, "component").select("url", "taken")
-    out = some.select("page_id", "url").join(taken, "url", "left")
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    out = out.select("page_id", host.alias("host"), path.alias("path"), "taken").withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
-    by_rule = _lookup(F.col("rule"), verdicts)
+    found = links(some).select("target", canonical_url(F.col("url")).alias("a"), canonical_url(F.col("target")).alias("b"))
+    found = materialise(found.withColumn("own", _verdict(F.col("target"), rules, verdicts)))
+    members = materialise(connected_components(found.select("a", "b")))
+    ruled = some.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical_url(F.col("url")).alias("form"))
+    ruled = ruled.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("own", _lookup(F.col("rule"), verdicts)).drop("url")
+    ruled = materialise(ruled)
+    opinions = ruled.select("form", "own").union(found.select(F.col("b").alias("form"), "own")).where("form IS NOT NULL AND own IS NOT NULL")
+    opinions = opinions.groupBy("form").agg(F.min("own").alias("own"))  # allow comes before block
+    grouped = opinions.join(members.withColumnRenamed("node", "form"), "form", "left").select(F.coalesce("component", "form").alias("component"), "own")
+    decided = materialise(grouped.groupBy("component").agg(F.min("own").alias("taken")))
+    # every form that a decision reaches: those of its component, and the component's name if it stands alone
+    reached = decided.join(members, "component").select(F.col("node").alias("form"), "taken").union(decided.select(F.col("component").alias("form"), "taken")).distinct()
+    out = ruled.join(reached, "form", "left")
     return out.select(
         "page_id", "host", "path", "rule",
-        F.coalesce(by_rule, "taken", F.lit("allow")).alias("verdict"),
-        F.when(F.col("rule").isNotNull(), "rule").when(F.col("taken").isNotNull(), "alias").otherwise("default").alias("decided_by"),
+        F.coalesce("own", "taken", F.lit("allow")).alias("verdict"),
+        F.when(F.col("own").isNotNull(), "rule").when(F.col("taken").isNotNull(), "alias").otherwise("default").alias("decided_by"),
     )
 
 
