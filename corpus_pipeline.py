@@ -14,7 +14,7 @@ from scriptorium.llm import mixing, packing, pii, quality_gam, simhash
 from scriptorium.llm.storage import materialise
 
 #: Five-word shingles; of fingerprints of texts with a similarity of 0.8, about 29 of 192 bits differ (give or take 5).
-NEAR = simhash.SimHashParams(shingle=5, words=3, distance=38, segments=((16, 1),) * 12, exhaustive=False)
+NEAR = simhash.SimHashParams(shingle=5, words=3, distance=38, segments=((16, 1),) * 12, exhaustive=False, near=8)
 MIX = mixing.MixParams(budget=0.8)
 
 
@@ -28,7 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near-duplicates."""
     found = materialise(simhash.near_duplicates(docs, NEAR).select("doc_id", "component_id"))
     others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    # by a merge join at every size: the ids to drop grow with the corpus, so they aren't broadcast while they are few
+    kept = docs.join(others.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").head(1):
         kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
     return kept

@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from scriptorium.llm.storage import materialise
 
 
-def dealt(rows: DataFrame, n_rows: int, block_rows: int, spread: str) -> DataFrame:
+def dealt(rows: DataFrame, n_rows: int, block_rows: int, spread: str, near: int = 0) -> DataFrame:
     """Add ``block`` and ``meet`` to ``rows`` and bring the rows of each ``(tab, key, meet)`` together, sorted.
 
     ``n_rows`` is about how many rows there are; it sets how many counters are used to find hot buckets. A
     counter may be shared by several buckets, which can only lead to more blocks than needed. ``spread`` is the
     column whose hash deals a hot bucket's rows into blocks. ``meet`` is -2 for a bucket that isn't cut, else it
     numbers a pair of blocks; it is odd if the blocks differ, so that only pairs of rows across them are due there.
+    Keys that differ in their last ``near`` bits only go to one partition: rows that one document sends to neighbouring
+    keys then stand together in the shuffle files and compress well.
     """
     counters = 1 << max(10, int(8 * n_rows / block_rows).bit_length())
     slot = F.pmod(F.xxhash64("tab", "key"), F.lit(counters))
@@ -38,7 +40,7 @@ def dealt(rows: DataFrame, n_rows: int, block_rows: int, spread: str) -> DataFra
         pair = lambda j: F.least("block", j).cast("long") * n + F.greatest("block", j)
         meets = F.transform(F.sequence(F.lit(0), n - 1), lambda j: 2 * pair(j) + (j != F.col("block")).cast("int"))
         out = cut.withColumn("meet", F.explode(F.when(n.isNull(), F.array(F.lit(-2).cast("long"))).otherwise(meets))).drop("n_blocks")
-    return out.repartition("tab", "key", "meet").sortWithinPartitions("tab", "key", "meet")
+    return out.repartition("tab", F.shiftright("key", near), "meet").sortWithinPartitions("tab", "key", "meet")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -40,7 +40,7 @@ class SimHashParams:
     """``shingle`` words to a shingle; ``words`` 64-bit words to a fingerprint; links at ``distance`` bits or fewer.
 
     ``segments`` lists ``(width, radius)`` from the most significant bit on, within a word of the fingerprint each.
-    ``exhaustive`` demands the pigeonhole bound, with which no link is missed.
+    ``exhaustive`` demands the pigeonhole bound, with which no link is missed. ``near``: see ``buckets.dealt``.
     """
 
     shingle: int = 3
@@ -49,6 +49,7 @@ class SimHashParams:
     segments: Sequence[tuple[int, int]] = ((32, 1), (32, 1))
     exhaustive: bool = True
     block_rows: int = 4096
+    near: int = 0
 
     def __post_init__(self) -> None:
         if sum(w for w, _ in self.segments) != 64 * self.words:
@@ -121,7 +122,7 @@ def links(reps: DataFrame, params: SimHashParams) -> DataFrame:
     n = reps.count()
     rows = reps.where("rep IS NOT NULL").select("rep", *names, F.explode(_entries(params, names)).alias("e"))
     rows = rows.select(F.col("e.tab").alias("tab"), F.col("e.key").alias("key"), F.col("e.probe").alias("probe"), "rep", *names)
-    groups = dealt(rows, n * probes, params.block_rows, "rep")
+    groups = dealt(rows, n * probes, params.block_rows, "rep", params.near)
     bounded_batches(spark, 20_000)
     distance = params.distance
 
