@@ -14,7 +14,7 @@ from scriptorium.llm import mixing, packing, pii, quality_gam, simhash
 from scriptorium.llm.storage import materialise
 
 #: Five-word shingles; of fingerprints of texts with a similarity of 0.8, about 29 of 192 bits differ (give or take 5).
-NEAR = simhash.SimHashParams(shingle=5, words=3, distance=38, segments=((16, 1),) * 12, exhaustive=False, near=8)
+NEAR = simhash.SimHashParams(shingle=5, words=3, distance=41, segments=((16, 1),) * 12, exhaustive=False, near=8)
 MIX = mixing.MixParams(budget=0.8)
 
 
