@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import mixing, packing, pii, quality_gam, simhash
+from scriptorium.llm import mixing, packing, pii, quality_gam, simhash, similar
 from scriptorium.llm.storage import materialise
 
-#: Five-word shingles; of fingerprints of texts with a similarity of 0.8, about 29 of 192 bits differ (give or take 5).
-NEAR = simhash.SimHashParams(shingle=5, words=3, distance=41, segments=((16, 1),) * 12, exhaustive=False, near=8)
+#: Candidates: of fingerprints of texts with a five-word similarity of 0.8, about 39 of 256 bits differ (give or take 6).
+NEAR = simhash.SimHashParams(shingle=5, words=4, distance=58, segments=((16, 1),) * 16, exhaustive=False, near=8, distinct=True)
 MIX = mixing.MixParams(budget=0.8)
 
 
@@ -25,9 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates."""
+    """Keep the document with the smallest id of each group of texts that links of a similarity of 0.8 connect."""
     found = materialise(simhash.near_duplicates(docs, NEAR).select("doc_id", "component_id"))
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
+    members = similar.verified(docs, found, similar.SimilarParams(shingle=NEAR.shingle))
+    others = members.where("node <> component").select(F.col("node").alias("doc_id")).distinct()
     # by a merge join at every size: the ids to drop grow with the corpus, so they aren't broadcast while they are few
     kept = docs.join(others.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").head(1):

@@ -43,10 +43,13 @@ def dealt(rows: DataFrame, n_rows: int, block_rows: int, spread: str, near: int
     return out.repartition("tab", F.shiftright("key", near), "meet").sortWithinPartitions("tab", "key", "meet")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Regroup sorted Arrow batches so that no ``(tab, key, meet)`` group is cut; also give each group's first row."""
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Regroup sorted Arrow batches so that no ``(tab, key, meet)`` group is cut; also give each group's first row.
+
+    ``rows`` is about how many rows are regrouped at a time.
+    """
     held: list[pa.Table] = []
-    for table in _larger(batches):
+    for table in _larger(batches, rows):
         starts = _starts(table)
         if held and not _same(held[-1], table):
             yield _joined(held)
@@ -63,7 +66,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         yield _joined(held)
 
 
-def _larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.Table]:
+def _larger(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:

@@ -41,6 +41,7 @@ class SimHashParams:
 
     ``segments`` lists ``(width, radius)`` from the most significant bit on, within a word of the fingerprint each.
     ``exhaustive`` demands the pigeonhole bound, with which no link is missed. ``near``: see ``buckets.dealt``.
+    ``distinct`` counts each different shingle of a text once, so that the fingerprint is one of a set.
     """
 
     shingle: int = 3
@@ -50,6 +51,7 @@ class SimHashParams:
     exhaustive: bool = True
     block_rows: int = 4096
     near: int = 0
+    distinct: bool = False
 
     def __post_init__(self) -> None:
         if sum(w for w, _ in self.segments) != 64 * self.words:
@@ -60,20 +62,29 @@ class SimHashParams:
             raise ValueError("these segments can miss links within the distance")
 
 
-def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> list[int]:
-    """The fingerprint of one UTF-8 text, as ``words`` unsigned 64-bit integers."""
-    import xxhash
-
+def shingles(text: bytes, shingle: int) -> list[bytes]:
+    """Each run of ``shingle`` words of one UTF-8 text, in order; all its words as one if there are fewer."""
     parts = text.lower().split()
     if not parts:
-        return [0] * words
+        return []
     flat = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     span = min(shingle, len(parts))
     first, last = starts[: len(parts) - span + 1].tolist(), ends[span - 1 :].tolist()
-    pieces = [flat[a:b] for a, b in zip(first, last)]
+    return [flat[a:b] for a, b in zip(first, last)]
+
+
+def fingerprint(text: bytes, shingle: int = 3, words: int = 1, distinct: bool = False) -> list[int]:
+    """The fingerprint of one UTF-8 text, as ``words`` unsigned 64-bit integers."""
+    import xxhash
+
+    pieces = shingles(text, shingle)
+    if not pieces:
+        return [0] * words
+    if distinct:
+        pieces = list(dict.fromkeys(pieces))
     n = len(pieces)
     bits = np.zeros(64 * words, np.int64)
     for at in range(0, n, 1 << 16):
@@ -96,7 +107,7 @@ def fingerprints(docs: DataFrame, params: SimHashParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            rows = np.array([fingerprint(t.as_py() or b"", params.shingle, params.words) for t in texts], np.uint64)
+            rows = np.array([fingerprint(t.as_py() or b"", params.shingle, params.words, params.distinct) for t in texts], np.uint64)
             rows = rows.reshape(batch.num_rows, params.words).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, i]) for i in range(params.words))], ["doc_id", *names])
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from scriptorium.llm import buckets, simhash
+from scriptorium.llm import buckets, simhash, similar
 from scriptorium.llm.components import connected_components
 from scriptorium.llm.embedding_dedup import near_duplicate_vectors
 
@@ -90,6 +90,60 @@ def test_wide_fingerprints_find_near_copies(spark):
     assert all(row["component_id"] == row["doc_id"] // 2 * 2 for row in got)
 
 
+def shingles_of(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def by_similarity(rows, least=0.8):
+    """Components of rows (id, text) by shingle similarity, over all pairs that share a shingle."""
+    sets = {i: shingles_of(t) for i, t in rows}
+    holders, links = {}, set()
+    for i, s in sets.items():
+        for p in s:
+            holders.setdefault(p, []).append(i)
+    for held in holders.values():
+        links |= {(a, b) for x, a in enumerate(held) for b in held[x + 1 :]}
+    blank = [i for i, s in sets.items() if not s]
+    near = [(a, b) for a, b in links if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9]
+    return components_of(sets, near + list(zip(blank, blank[1:])))
+
+
+def edited_texts(seed=7, n=150):
+    """Texts of 3 to 300 words, and for each one copy with some words changed: similarities of all sizes."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        words = [f"t{r.randrange(5000)}" for _ in range(r.choice([3, 6, 9, 20, 60, 300]))]
+        out.append((2 * i, " ".join(words)))
+        for _ in range(r.randint(0, max(1, len(words) // 15))):
+            words[r.randrange(len(words))] = f"c{r.randrange(5000)}"
+        out.append((2 * i + 1, " ".join(words)))
+    line = " ".join(f"l{j}" for j in range(40))
+    return [*out, (1000, line), (1001, f"{line} " * 6 + line), (1002, ""), (1003, None), (1004, line.upper())]
+
+
+@pytest.mark.parametrize("block_rows", [256, 4])
+def test_links_are_verified_against_all_pairs(spark, block_rows):
+    rows = [*edited_texts(), *((2000 + i, f"{' '.join(f'h{j}' for j in range(100))} x{i} y{i % 7}") for i in range(40))]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = spark.createDataFrame([(i, 0) for i, _ in rows], "doc_id long, component_id long")  # all are candidates of each other
+    got = similar.verified(docs, found, similar.SimilarParams(block_rows=block_rows)).collect()
+    expected = by_similarity(rows)
+    assert {r["node"]: r["component"] for r in got} == {i: c for i, c in expected.items() if i != c or list(expected.values()).count(c) > 1}
+
+
+def test_dedup_stage_against_all_pairs(spark):
+    import corpus_pipeline
+
+    rows = edited_texts()
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    expected = by_similarity(rows)
+    ours, theirs = {r["doc_id"] for r in kept}, {i for i, c in expected.items() if i == c}
+    assert theirs <= ours  # nothing is dropped without a link of 0.8
+    assert len(ours - theirs) <= 1  # candidates of 0.8 are found with probability 0.994, nearer ones more surely
+
+
 def test_components_of_chains_stars_and_loops(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(300, 300), (400, 401), (401, 400), (None, 5)]
