@@ -82,10 +82,10 @@ class WordEncoder:
             at = end
 
     def _parts(self, text: str) -> Iterator[str]:
-        """Cuts a very long text where a pre-token must begin: between a line end and a character that is no space."""
+        """Cuts a very long text where a pre-token must begin: at a letter or digit after a line end that follows no other white space."""
         at = 0
         while len(text) - at > self.AT_ONCE:
-            m = re.compile(r"\n(?=[A-Za-z0-9])").search(text, at + self.AT_ONCE)
+            m = re.compile(r"(?<=\S)\n(?=[A-Za-z0-9])").search(text, at + self.AT_ONCE)
             if not m:
                 break
             yield text[at : m.end()]

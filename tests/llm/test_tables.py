@@ -127,6 +127,21 @@ def test_ids_are_the_tokenizers(spark):
     assert [len(x) for x in encoder.encode(texts)] == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_ids_of_long_texts_with_blank_lines():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    tokenizer.encode_special_tokens = True
+    r = random.Random(2)
+    texts = ["a b.\n\nNext line\nmore\n \n\nwords 1\r\n2\n\x1c\n3 " * 30, "日本\n\nNext\nline " * 40]
+    texts += ["".join(r.choice(["\n", "\n", " ", "a", "Bc", "1", ".", "\r", "\t", "\xa0", "\x85", "'s"]) for _ in range(400)) for _ in range(200)]
+    encoder = packing.WordEncoder(VOCABULARY)
+    encoder.AT_ONCE = 20
+    assert all(len(list(encoder._parts(t))) > 1 for t in texts[:2])
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_bins_are_few_and_whole():
     r = random.Random(4)
     for n, top in ((12, 100), (60, 70), (400, 100), (30, 40)):
