@@ -17,7 +17,8 @@ have equal ids and texts; rows with one ``doc_id`` and different texts are told
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,8 +66,80 @@ KNOWN: dict[str, tuple[str, ...]] = {
     "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.",),
 }
 
-#: A line that this pattern begins is a copyright line. In syntax that Java and RE2 read alike, for lower case.
-COPYRIGHT = r"^[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+_BSD_2 = KNOWN["BSD-2-Clause"][0]
+_BSD_3 = _BSD_2.replace(
+    " THIS SOFTWARE IS",
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS",
+    1,
+)
+_ISC = KNOWN["ISC"][0]
+#: More whole licences, without their titles.
+WHOLE: dict[str, tuple[str, ...]] = {
+    "MIT": (KNOWN["MIT"][0],),
+    "ISC": (_ISC, _ISC.replace("and/or", "and", 1)),
+    "BSD-2-Clause": (_BSD_2, _BSD_2.replace(" 1. ", " ").replace(" 2. ", " ")),
+    "BSD-3-Clause": (_BSD_3, _BSD_3.replace(" 1. ", " ").replace(" 2. ", " ").replace(" 3. ", " ")),
+    "Zlib": (KNOWN["Zlib"][0],),
+    "0BSD": (_ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", ""),),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+}
+_WHOLE_ENDS = (" For more information, please refer to <https://unlicense.org>", " For more information, please refer to <https://unlicense.org/>")
+WHOLE["Unlicense"] += tuple(WHOLE["Unlicense"][0] + end for end in _WHOLE_ENDS)
+#: Title lines that files begin with.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+
+def _files() -> dict[str, tuple[str, ...]]:
+    """The long licences, which are kept as files: whole, without the blocks of title lines, and without an appendix."""
+    out = {}
+    for path in sorted((Path(__file__).parent / "licences").glob("*.txt")):
+        text = path.read_text(encoding="utf-8").strip()
+        bodies = [text, *(text.split("\n\n", k)[k] for k in (1, 2))]
+        end = "END OF TERMS AND CONDITIONS"
+        out[path.stem] = tuple(dict.fromkeys([*bodies, *(b[: b.index(end) + len(end)] for b in bodies if end in b), *(b[: b.index(end)] for b in bodies if end in b)]))
+    return out
+
+
+def _complete(known: dict[str, tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
+    files = _files()
+    titled = {n: tuple(f"{t}\n{x}" for t in TITLES[n] for x in texts) for n, texts in WHOLE.items()}
+    names = dict.fromkeys([*known, *WHOLE, *files])
+    return {n: tuple(dict.fromkeys([*known.get(n, ()), *WHOLE.get(n, ()), *titled.get(n, ()), *files.get(n, ())])) for n in names}
+
+
+KNOWN = _complete(KNOWN)
+
+#: Words that follow "copyright" or "(c)" in the bodies of licences, where lines may be wrapped before it.
+BODY_WORDS = (
+    "notice notices holder holders owner owners license licenses licence licences law laws statement statements interest interests permission permissions "
+    "protection treaty treaties disclaimer disclaimers right rights and or on in of to is are as if for with under you that which such any may its it this"
+).split()
+
+
+def _other_word(words: Sequence[str]) -> str:
+    """A pattern of the rest of a line that begins with a word in small letters which is none of ``words``; without lookahead."""
+    heads = sorted({w[0] for w in words if w})
+    others = "".join(c for c in "abcdefghijklmnopqrstuvwxyz" if c not in heads)
+    ways = [f"[{others}][^\\n]*"] if others else []
+    for head in heads:
+        rest = [w[1:] for w in words if w[:1] == head]
+        ways.append(head + "(" + _other_word(rest) + ("" if "" in rest else r"|[^a-z\n][^\n]*|\z") + ")")
+    return "|".join(ways)
+
+
+_HOLDER = _other_word(BODY_WORDS)
+#: A line that this pattern begins is a copyright line: one with a sign, a year or a holder. In syntax that Java and RE2 read alike, for lower case.
+COPYRIGHT = rf"^[ \t*#/;-]*(copyright[ \t:]*[^a-z \t:,.;)\"\n-][^\n]*|copyright[ \t:]+({_HOLDER})|\(c\)[ \t]*[^a-z \t\n][^\n]*|\(c\)[ \t]*(copyright[^\n]*|{_HOLDER})|©[^\n]*|all rights reserved[^\n]*)"
 #: Equivalent spellings in lower case, replaced in this order.
 SPELLINGS = (
     ("licence", "license"),

@@ -175,6 +175,33 @@ def test_licences_equal_sql(spark):
     assert license_scan.scan(docs.where("false")).collect() == []
 
 
+def test_whole_licence_files_and_copyright_lines(spark):
+    import textwrap
+
+    whole = {**{n: (t[0],) for n, t in license_scan.WHOLE.items()}, **{n: t[:1] for n, t in license_scan._files().items()}}
+    assert {"BSD-3-Clause", "Unlicense", "0BSD", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0"} <= set(whole)
+    rows, expected = [], {}
+    for name, (text,) in whole.items():
+        forms = [text]
+        if name in license_scan.TITLES:
+            head = f"{license_scan.TITLES[name][0]}\n\nCopyright (c) 2020 Some Body\n\n"
+            forms = [h + "\n".join(textwrap.wrap(text, width, break_on_hyphens=False)) for h in ("", head) for width in range(30, 90, 5)]
+        for form in forms:
+            expected[len(rows)] = name
+            rows.append((len(rows), form))
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
+    dropped = ["copyright 2020 x", "# (c) 2020 x", "copyright (c) x", "copyright: x", "copyright nora", "copyright the authors", "copyright o", "© x", "(c) copyright x", "copyright [yyyy] [name]", "all rights reserved."]
+    kept = ["copyright notice and this", "copyright holders or", "copyright owner", "copyright, patent", "copyrighted work", "(c) you must retain", "copyright", "copyright law."]
+    for line in dropped + kept:
+        assert bool(re.match(license_scan.COPYRIGHT.replace(r"\z", r"\Z"), line)) == (line in dropped), line
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [*rows, *((1000 + i, x) for i, x in enumerate(dropped + kept))])
+    docs = spark.createDataFrame([*rows, *((1000 + i, x) for i, x in enumerate(dropped + kept))], "doc_id long, text string")
+    assert sorted(map(str, map(tuple, license_scan.scan(docs).collect()))) == sorted(map(str, con.sql(license_scan.scan_sql()).fetchall()))
+
+
 def test_a_registry_has_a_bound(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "MAX_REGISTRY", 3)
     with pytest.raises(ValueError):
