@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.storage import discard, materialise
+from scriptorium.llm.storage import discard, materialise, scratch
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,23 +21,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
     null end are no edge. Returns ``node``, ``component``; the smallest node of a component is included. An
     empty edge table gives an empty result.
     """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, mark = _kept(pairs)
-    while mark[0]:
-        after, mark_after = _kept(_small_star(_large_star(now)))
-        discard(now)
-        now, stable = after, mark_after == mark
-        mark = mark_after
-        if stable:
-            break
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    with scratch() as tables:
+        pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        now, mark = _kept(pairs)
+        while mark[0]:
+            with scratch() as step:
+                after = step.result(_small_star(_large_star(now)))
+            discard(now)
+            now, before, mark = after, mark, _mark(after)
+            if mark == before:
+                break
+        roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+        return tables.result(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots))
 
 
 def _kept(pairs: DataFrame) -> tuple[DataFrame, tuple]:
     table = materialise(pairs)
-    mark = table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return table, tuple(mark)
+    return table, _mark(table)
+
+
+def _mark(table: DataFrame) -> tuple:
+    """Number of rows and a sum of their hashes: equal marks mean that a step changed nothing."""
+    return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
