@@ -1,7 +1,8 @@
 """License scans by canonical digests, in built-in DataFrame functions only.
 
-A text is brought to a canonical form: lower case, equivalent spellings made one, copyright lines dropped, punctuation
-and white space turned into single blanks. The SHA-256 of that form is looked up by a hash join among the digests of
+A text is brought to a canonical form: lower case, equivalent spellings made one, copyright clauses dropped, punctuation
+and white space turned into single blanks. A copyright clause begins a line and ends with it, or at a full stop which
+one of the words follows that licences begin with; letters, marks and digits of all scripts stay. The SHA-256 of that form is looked up by a hash join among the digests of
 known licences and licence notices. Two kinds of text are looked up: each whole text by the join, and each of its lines, for
 notices that stand on a line of their own, by a hashed intersection within the row. Texts are read once and nothing is
 shuffled.
@@ -133,13 +134,19 @@ def _other_word(words: Sequence[str]) -> str:
     ways = [f"[{others}][^\\n]*"] if others else []
     for head in heads:
         rest = [w[1:] for w in words if w[:1] == head]
-        ways.append(head + "(" + _other_word(rest) + ("" if "" in rest else r"|[^a-z\n][^\n]*|\z") + ")")
+        ways.append(head + "(?:" + _other_word(rest) + ("" if "" in rest else r"|[^a-z\n][^\n]*|\z") + ")")
     return "|".join(ways)
 
 
 _HOLDER = _other_word(BODY_WORDS)
-#: A line that this pattern begins is a copyright line: one with a sign, a year or a holder. In syntax that Java and RE2 read alike, for lower case.
-COPYRIGHT = rf"^[ \t*#/;-]*(copyright[ \t:]*[^a-z \t:,.;)\"\n-][^\n]*|copyright[ \t:]+({_HOLDER})|\(c\)[ \t]*[^a-z \t\n][^\n]*|\(c\)[ \t]*(copyright[^\n]*|{_HOLDER})|©[^\n]*|all rights reserved[^\n]*)"
+#: Words at which a licence, its name or another clause begins after a copyright clause on the same line.
+STARTS = "permission permitted redistribution redistributions released licensed distributed this the all use everyone any unless you see it in".split()
+#: A copyright clause: one with a sign, a year or a holder, at the beginning of a line. In syntax that Java and RE2 read alike, for lower case; group 1 is what follows it.
+_CLAUSE = _HOLDER.replace(r"[^\n]*", r"[^\n]*?")
+COPYRIGHT = (
+    rf"^[ \t*#/;-]*(?:copyright[ \t:]*[^a-z \t:,.;)\"\n-][^\n]*?|copyright[ \t:]+(?:{_CLAUSE})|\(c\)[ \t]*[^a-z \t\n][^\n]*?|\(c\)[ \t]*(?:copyright[^\n]*?|{_CLAUSE})|©[^\n]*?|all rights reserved[^\n]*?)"
+    rf"(?:\.[ \t]+((?:{'|'.join(STARTS)})[ \t][^\n]*))?$"
+)
 #: Equivalent spellings in lower case, replaced in this order.
 SPELLINGS = (
     ("licence", "license"),
@@ -151,8 +158,8 @@ SPELLINGS = (
     ("https://", ""),
     ("http://", ""),
 )
-#: Whatever is no letter of Latin scripts or digit.
-PUNCTUATION = "[^0-9a-zÀ-ɏ]+"
+#: Whatever is no letter, mark or digit of any script.
+PUNCTUATION = r"[^\p{L}\p{M}\p{N}]+"
 #: Words that notices put in or leave out, once punctuation is blanks.
 FILLERS = (" version ", " v ")
 
@@ -163,7 +170,7 @@ def canonical_lines(text: Column) -> Column:
 
 
 def _line(line: Column) -> Column:
-    out = F.regexp_replace(line, COPYRIGHT, "")
+    out = F.regexp_replace(F.regexp_replace(line, COPYRIGHT, "$1"), COPYRIGHT, "$1")  # twice: "all rights reserved" may follow a holder
     for one, other in SPELLINGS:
         out = F.replace(out, F.lit(one), F.lit(other))
     out = F.regexp_replace(out, PUNCTUATION, " ")
@@ -174,7 +181,7 @@ def _line(line: Column) -> Column:
 
 def canonical_lines_sql(text: str) -> str:
     """The same as a DuckDB expression."""
-    out = f"regexp_replace(x, '{COPYRIGHT}', '')"
+    out = rf"regexp_replace(regexp_replace(x, '{COPYRIGHT}', '\1'), '{COPYRIGHT}', '\1')"
     for one, other in SPELLINGS:
         out = f"replace({out}, '{one}', '{other}')"
     out = f"regexp_replace({out}, '{PUNCTUATION}', ' ', 'g')"
