@@ -5,21 +5,25 @@ language. Transitions between the languages of neighbouring words are learned wi
 switch between documents of different languages. Forward-backward gives every word's probability for each
 language; a document's language is the one with the largest sum over its words that have letters.
 
-Fitting takes at most ``max_docs`` documents, in the order of a hash of their id, and a window of ``window`` words of
-each (documented bounds). Prediction covers every row and whole texts; a text of over ``AT_MOST`` words goes through
-in stretches of so many words, whose sums are added up.
+Fitting takes at most ``max_docs`` rows, in the order of a hash of their id, of those with at most ``max_chars``
+characters (documented bounds on the sample of rows; the texts of its rows are whole). Prediction covers every row and
+whole texts. A text of over ``STRETCH`` characters goes through in stretches, twice: once from left to right for the
+forward vectors at their bounds, and once from right to left with the backward vectors, so that the result is that of
+one chain over the whole text while memory is bounded by a stretch.
 
 Forward-backward runs over chunks of words in lockstep: products of transition matrices for each chunk, a scan over the
 chunks of a document, then the words within the chunks. Feature sums are kept for each distinct word in a bounded cache.
 
 Defined results: the language of a text that is null or has no letter is ``und`` with score 0. Documents without a
-language aren't learned from; with nothing to learn from, every result is ``und`` with score 0. Ties go to the first
-language by name. Repeated rows get equal results. An empty table gives an empty result. Extra columns are ignored.
+language or id aren't learned from; with nothing to learn from, every result is ``und`` with score 0. Ties go to the first
+language by name. Repeated rows get equal results. A null ``doc_id`` keeps its row. An empty table gives an empty result.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,17 +34,17 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.storage import bounded_batches
 
-AT_MOST = 1 << 20
+STRETCH = 4 << 20
 CHUNK = 64
 EDGE = np.uint64(0x110000)
+_BLANK = re.compile(r"\s")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class CrfParams:
-    max_docs: int = 3000
-    window: int = 160
-    word_chars: int = 64
+    max_docs: int = 1500
+    max_chars: int = 20_000
     table_bits: int = 17
     steps: int = 60
     rate: float = 0.12
@@ -179,8 +183,14 @@ def _marginals(scores: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.n
 # ------------------------------------------------------------------------------------------------ prediction
 
 
-def marginals(e: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Word marginals of sequences that stand one after another in ``e`` (positive scores), exact for any length."""
+def marginals(
+    e: np.ndarray, lengths: np.ndarray, move: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Word marginals of sequences that stand one after another in ``e`` (positive scores), exact for any length.
+
+    A single sequence may be a stretch of a longer one: ``before`` is the forward vector of the word before it and
+    ``after`` the backward vector of its last word. Also gives the backward vector of the word before the first one.
+    """
     k = e.shape[1]
     chunks = -(-lengths // CHUNK)
     doc = np.repeat(np.arange(len(lengths)), chunks)
@@ -197,6 +207,8 @@ def marginals(e: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarra
     def norm(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(x.sum(axis=-1, keepdims=True), 1e-300)
 
+    if before is not None:
+        first = np.zeros(len(order), bool)
     whole = np.tile(np.eye(k), (len(order), 1, 1))
     for t in range(CHUNK):
         n = open_[t]
@@ -209,6 +221,10 @@ def marginals(e: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarra
         whole[:n] = now / now.sum(axis=(1, 2), keepdims=True)
     start, stop = np.ones((len(order), k)) / k, np.ones((len(order), k)) / k
     base = np.cumsum(chunks) - chunks
+    if before is not None:
+        start[place[0]] = before
+    if after is not None:
+        stop[place[len(order) - 1]] = after
     many = np.argsort(-chunks, kind="stable")
     for j in range(1, int(chunks.max(initial=0))):
         docs = many[: int(np.searchsorted(-chunks[many], -j, "left"))]
@@ -236,7 +252,31 @@ def marginals(e: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarra
         if n:
             where = at_o[:n] + t
             beta[where] = norm((e[where + 1] * beta[where + 1]) @ move.T)
-    return norm(alpha * beta)
+    return norm(alpha * beta), norm((e[:1] * beta[:1]) @ move.T).sum(axis=0)
+
+
+def carried(e: np.ndarray, move: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+    """The forward vector of the last word of one sequence, of which ``before`` is that of the word before it."""
+    k = e.shape[1]
+    n = len(e) // CHUNK * CHUNK
+    a = before
+    if n:
+        whole = np.tile(np.eye(k), (n // CHUNK, 1, 1))
+        parts = e[:n].reshape(-1, CHUNK, k)
+        for t in range(CHUNK):
+            now = whole @ move
+            if t == 0 and before is None:
+                now[0] = whole[0]
+            now = now * parts[:, t][:, None, :]
+            whole = now / now.sum(axis=(1, 2), keepdims=True)
+        a = np.ones(k) / k if a is None else a
+        for w in whole:
+            a = a @ w
+            a = a / max(a.sum(), 1e-300)
+    for row in e[n:]:
+        a = row if a is None else (a @ move) * row
+        a = a / max(a.sum(), 1e-300)
+    return a
 
 
 class WordScorer:
@@ -282,6 +322,18 @@ def _scorer(model: Crf, name: str) -> WordScorer:
     return _SCORERS[name]
 
 
+def _stretches(text: str) -> Iterator[str]:
+    """A text in parts of about ``STRETCH`` characters that end before white space."""
+    at = 0
+    while len(text) - at > STRETCH:
+        m = _BLANK.search(text, at + STRETCH)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def label(texts: list[str], scorer: WordScorer, segments: bool = False) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """(language, score, segments of words by language) of each text."""
     model = scorer.model
@@ -289,42 +341,67 @@ def label(texts: list[str], scorer: WordScorer, segments: bool = False) -> list[
     if not k:
         return [("und", 0.0, []) for _ in texts]
     move = np.exp(model.change - model.change.max())
-    pieces: list[tuple[int, list[str]]] = []
-    for i, text in enumerate(texts):
-        words = text.split()
-        pieces.extend((i, words[a : a + AT_MOST]) for a in range(0, len(words), AT_MOST))
-    votes = np.zeros((len(texts), k))
-    runs: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    done = np.zeros(len(texts), np.int64)
+    out: list[tuple[str, float, list[tuple[int, int, str]]]] = []
     at = 0
-    while at < len(pieces):
+    while at < len(texts):
         end, size = at, 0
-        while end < len(pieces) and (end == at or size + len(pieces[end][1]) <= 100_000):
-            size += len(pieces[end][1])
+        while end < len(texts) and (end == at or size + len(texts[end]) <= STRETCH // 4):
+            size += len(texts[end])
             end += 1
-        some = pieces[at:end]
-        e, letters = scorer([w for _, words in some for w in words])
-        lengths = np.array([len(words) for _, words in some])
-        chance = marginals(e, lengths, move)
-        owner = np.repeat(np.array([i for i, _ in some]), lengths)
-        for j in range(k):
-            votes[:, j] += np.bincount(owner, chance[:, j] * letters, len(texts))
-        if segments:
-            best = chance.argmax(axis=1)
-            cut = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])])
-            first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(best)]):
-                i = int(owner[a])
-                runs[i].append((int(a - first[a] + done[i]), int(b - first[a] + done[i]), model.langs[best[a]]))
-        np.add.at(done, np.array([i for i, _ in some]), lengths)
+        if size > STRETCH:
+            out.append(_label_long(texts[at], scorer, move, segments))
+        else:
+            words = [t.split() for t in texts[at:end]]
+            lengths = np.array([len(w) for w in words])
+            e, letters = scorer([w for ws in words for w in ws])
+            chance = marginals(e, lengths, move)[0] if len(e) else e
+            owner = np.repeat(np.arange(len(words)), lengths)
+            votes = np.stack([np.bincount(owner, chance[:, j] * letters, len(words)) for j in range(k)], axis=1)
+            bounds = np.append(0, np.cumsum(lengths))
+            for i, v in enumerate(votes):
+                runs = _runs(chance[bounds[i] : bounds[i + 1]], 0, model.langs) if segments else []
+                out.append((*_verdict(v, model.langs), runs))
         at = end
-    out = []
-    for v, r in zip(votes, runs):
-        total = float(v.sum())
-        out.append((model.langs[int(v.argmax())], float(v.max() / total), r) if total > 0 else ("und", 0.0, r))
     return out
 
 
+def _verdict(votes: np.ndarray, langs: list[str]) -> tuple[str, float]:
+    total = float(votes.sum())
+    return (langs[int(votes.argmax())], float(votes.max() / total)) if total > 0 else ("und", 0.0)
+
+
+def _runs(chance: np.ndarray, offset: int, langs: list[str]) -> list[tuple[int, int, str]]:
+    """(first word, word after the last, language) of each run of words with one likeliest language."""
+    if not len(chance):
+        return []
+    best = chance.argmax(axis=1)
+    cut = np.flatnonzero(np.r_[True, best[1:] != best[:-1]]).tolist()
+    return [(a + offset, b + offset, langs[best[a]]) for a, b in zip(cut, [*cut[1:], len(best)])]
+
+
+def _label_long(text: str, scorer: WordScorer, move: np.ndarray, segments: bool) -> tuple[str, float, list[tuple[int, int, str]]]:
+    """One very long text, as one chain: stretch by stretch, forwards for the vectors at the bounds and then backwards."""
+    parts = [p for p in _stretches(text) if p.split(None, 1)]
+    before, counts, a = [], [], None
+    for part in parts:
+        words = part.split()
+        before.append(a)
+        counts.append(len(words))
+        a = carried(scorer(words)[0], move, a)
+    votes, runs, after = np.zeros(len(scorer.model.langs)), [], None
+    for i in range(len(parts) - 1, -1, -1):
+        e, letters = scorer(parts[i].split())
+        chance, after = marginals(e, np.array([len(e)]), move, before[i], after)
+        votes += (chance * letters[:, None]).sum(axis=0)
+        if segments:
+            mine = _runs(chance, sum(counts[:i]), scorer.model.langs)
+            if runs and mine and mine[-1][2] == runs[0][2]:
+                mine[-1] = (mine[-1][0], runs[0][1], runs[0][2])
+                runs = runs[1:]
+            runs = mine + runs
+    return (*_verdict(votes, scorer.model.langs), runs)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -332,15 +409,11 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, params: CrfParams = CrfParams()) -> Crf:
     """Fit on rows with a language whose crc32 of the id as text is no multiple of 5."""
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    some = some.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
+    some = some.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).where(F.length("text") <= params.max_chars)
     order = [F.xxhash64("doc_id"), "doc_id"]
     ids = F.broadcast(some.select("doc_id").orderBy(*order).limit(params.max_docs).distinct())  # at most max_docs ids
-    words = F.split(F.trim("text"), r"\s+")
-    start = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.size("words") - params.window))
-    short = F.transform(F.slice("words", start.cast("int"), params.window), lambda w: F.substring(w, 1, params.word_chars))
-    rows = some.join(ids, "doc_id").select("doc_id", "lang", words.alias("words")).select("doc_id", "lang", short.alias("words"))
-    rows = rows.orderBy(*order, "lang", "words").limit(params.max_docs).collect()
-    return fit([(r["lang"], [w for w in r["words"] if core(w)]) for r in rows], params)
+    rows = some.join(ids, "doc_id").orderBy(*order, "lang", "text").limit(params.max_docs).collect()
+    return fit([(r["lang"], [w for w in r["text"].split() if core(w)]) for r in rows], params)
 
 
 def identify(docs: DataFrame, model: Crf, segments: bool = True) -> DataFrame:
