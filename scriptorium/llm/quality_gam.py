@@ -10,8 +10,9 @@ bound); only their feature vectors reach the driver. Scoring covers every row an
 
 Defined results: a null text counts as empty, and empty texts get a score like any other. Labels that are null, or
 ids without a label, are not learned from. Without any label, or with one class only, each score is the share of
-label 1 (0.5 without labels). Ids with several labels count each. An empty table gives an empty result. Extra columns
-are ignored, whatever their names.
+label 1 (0.5 without labels). Ids with several labels count each. A null ``doc_id`` is scored and not learned from.
+Repeated rows get equal scores. An empty table gives an empty result. Extra columns pass through ``score`` and
+``accepted``, whatever their names; ``score`` replaces one that has the name of its result.
 """
 
 from __future__ import annotations
@@ -242,21 +243,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, model: Gam) -> DataFrame:
-    """``docs`` with its columns, plus ``quality_score`` (0 to 1): the probability of label 1. The new name must be free."""
-    if "quality_score" in docs.columns:
-        raise ValueError("docs has a column quality_score already")
+def _scored(docs: DataFrame, model: Gam) -> DataFrame:
+    """``row``, the whole row of ``docs`` as one column, so that no name can clash, and ``score``."""
     bounded_batches(docs.sparkSession)
-    at = docs.columns.index("text")
-    kind = docs.schema["text"].dataType.simpleString()
+    held = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").cast("binary").alias("text"))
+    schema = T.StructType([held.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).cast(pa.string()).cast(pa.binary())
-            x = np.array([features(t.as_py() or b"") for t in texts], float).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, "quality_score"])
-
-    if kind != "string":
-        raise ValueError("text must be a string column")
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+            x = np.array([features(t.as_py() or b"") for t in batch.column(1)], float).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["row", "score"])
+
+    return held.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Gam, name: str = "quality_score") -> DataFrame:
+    """``docs`` with its columns, plus ``name`` (0 to 1): the probability of label 1. A column that has the name already is replaced."""
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    return _scored(docs, model).select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("score").alias(name))
+
+
+def accepted(docs: DataFrame, model: Gam, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, as they are, whose probability of label 1 is ``least`` or more."""
+    return _scored(docs, model).where(F.col("score") >= least).select("row.*")
