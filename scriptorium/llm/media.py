@@ -3,10 +3,12 @@
 A sound is cut into frames, each frame goes through a short-time Fourier transform, the strongest bin of each band
 that stands out of its frame is a peak, and each peak is paired with the peaks of the next few frames. A pair
 ``(bin, later bin, frames between)`` is one integer; the pairs of a sound are a time-coded array of
-``(frame, code)``. Long sounds go through in blocks of frames, so memory is bounded by the block and the sound itself.
+``(frame, code)``. Long sounds go through in blocks of frames, so that beside a block only one row's sound and pairs are in
+memory (8 bytes a pair, up to 0.6 pairs a sample), and rows leave in batches of bounded size.
 
 Defined results: a null text is taken as empty, and an empty payload is 64 zero bytes. Silence has no peaks and
-an empty array. Equal payloads have equal results. Extra columns are ignored.
+an empty array. Equal payloads have equal results, so do repeated rows. A null ``doc_id`` keeps its row. An empty table
+gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.storage import bounded_batches
+from scriptorium.llm.storage import BATCH_BYTES, bounded_batches
 
 RATE, FRAME, HOP, FAN, BLOCK_FRAMES = 8000, 256, 128, 3, 4096
 #: Bounds of the bands of bins in which a frame's peaks are sought; bin 0, the mean, is in none.
@@ -57,10 +59,19 @@ def samples(stored: bytes) -> bytes:
 
 def peak_pairs(sound: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Frame numbers and codes of a sound's peak pairs, in order of frame, band, gap and later band."""
+    parts = list(_pairs_by_block(sound))
+    if not parts:
+        return np.empty(0, np.int32), np.empty(0, np.int32)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _pairs_by_block(sound: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of one block of frames after another. The peaks of the last ``FAN`` frames are carried to the next block."""
     data = np.frombuffer(sound, np.uint8)
     n = max(1, -(-max(0, len(data) - FRAME) // HOP) + 1)
     window = np.hanning(FRAME).astype(np.float32)
-    bins, stands = [], []
+    k = len(BANDS) - 1
+    peak, clear, base = np.empty((0, k), np.int64), np.empty((0, k), bool), 0
     for at in range(0, n, BLOCK_FRAMES):
         count = min(BLOCK_FRAMES, n - at)
         part = data[at * HOP : (at + count - 1) * HOP + FRAME].astype(np.float32)
@@ -68,27 +79,24 @@ def peak_pairs(sound: bytes) -> tuple[np.ndarray, np.ndarray]:
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
         power = np.abs(np.fft.rfft(frames * window, axis=1))
         mean = power[:, 1:].mean(axis=1)
-        for lo, hi in zip(BANDS, BANDS[1:]):
-            best = power[:, lo:hi].argmax(axis=1) + lo
-            height = power[np.arange(count), best]
-            bins.append((at, best))
-            stands.append((height >= STANDS_OUT * mean) & (height > 1e-3))
-    k = len(BANDS) - 1
-    peak = np.stack([np.concatenate([bins[i][1] for i in range(b, len(bins), k)]) for b in range(k)], axis=1)
-    clear = np.stack([np.concatenate([stands[i] for i in range(b, len(stands), k)]) for b in range(k)], axis=1)
-    time, code, rank = [], [], []
-    for gap in range(1, FAN + 1):
-        if n <= gap:
-            break
-        both = clear[:-gap, :, None] & clear[gap:, None, :]
-        frame, one, two = np.nonzero(both)
-        time.append(frame)
-        code.append((peak[frame, one] << 20) | (peak[frame + gap, two] << 8) | gap)
-        rank.append(((frame * k + one) * (FAN + 1) + gap) * k + two)
-    if not time:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    order = np.argsort(np.concatenate(rank), kind="stable")
-    return np.concatenate(time)[order].astype(np.int64), np.concatenate(code)[order].astype(np.int64)
+        best = np.stack([power[:, lo:hi].argmax(axis=1) + lo for lo, hi in zip(BANDS, BANDS[1:])], axis=1)
+        height = np.take_along_axis(power, best, axis=1)
+        peak = np.concatenate([peak, best])
+        clear = np.concatenate([clear, (height >= STANDS_OUT * mean[:, None]) & (height > 1e-3)])
+        due = len(peak) if at + count == n else max(0, len(peak) - FAN)  # frames whose partners are all known
+        time, code, rank = [], [], []
+        for gap in range(1, FAN + 1):
+            last = min(due, len(peak) - gap)
+            if last <= 0:
+                break
+            frame, one, two = np.nonzero(clear[:last, :, None] & clear[gap : gap + last, None, :])
+            time.append(frame)
+            code.append((peak[frame, one] << 20) | (peak[frame + gap, two] << 8) | gap)
+            rank.append(((frame * k + one) * (FAN + 1) + gap) * k + two)
+        if time:
+            order = np.argsort(np.concatenate(rank), kind="stable")
+            yield (np.concatenate(time)[order] + base).astype(np.int32), np.concatenate(code)[order].astype(np.int32)
+        peak, clear, base = peak[due:], clear[due:], base + due
 
 
 SCHEMA = (
@@ -102,26 +110,32 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     bounded_batches(docs.sparkSession)
     pair = pa.struct([("frame", pa.int32()), ("code", pa.int32())])
 
+    def made(ids: list, rows: list[tuple], times: list[np.ndarray], codes: list[np.ndarray]) -> pa.RecordBatch:
+        frame, code = (pa.array(np.concatenate(x)) for x in (times, codes))
+        offsets = np.append(0, np.cumsum([len(t) for t in times]))
+        prints = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([frame, code], fields=list(pair)))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        *plain, media = zip(*rows)
+        columns = [pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(plain, kinds)), prints, pa.array(media, pa.binary())]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "fingerprint", "media"]
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            times, codes, offsets = [], [], [0]
-            for value in batch.column(1):
+            ids, rows, times, codes, held = [], [], [], [], 0
+            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = value.as_py() or b""
                 stored = to_wav(padded(raw))
                 back = samples(stored)
                 time, code = peak_pairs(back)
-                times.append(time)
-                codes.append(code)
-                offsets.append(offsets[-1] + len(time))
+                ids.append(doc), times.append(time), codes.append(code)
                 rows.append((len(raw), len(back), _hex(back), zlib.crc32(back[-64:]), len(stored), _hex(stored), stored if keep_media else None))
-            frame, code = (pa.array(np.concatenate(x), pa.int32()) for x in (times, codes))
-            prints = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([frame, code], fields=list(pair)))
-            n, size, sha, crc, stored, stored_sha, media = zip(*rows)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-            plain = [pa.array(c, t) for c, t in zip((n, size, sha, crc, stored, stored_sha), kinds)]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "fingerprint", "media"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *plain, prints, pa.array(media, pa.binary())], names)
+                held += 8 * len(time) + (len(stored) if keep_media else 0)
+                if held > BATCH_BYTES:
+                    yield made(ids, rows, times, codes)
+                    ids, rows, times, codes, held = [], [], [], [], 0
+            if ids:
+                yield made(ids, rows, times, codes)
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return some.mapInArrow(run, SCHEMA)
