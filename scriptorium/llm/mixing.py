@@ -10,12 +10,13 @@ Whether a document stays follows from a hash of its id and the seed, so it doesn
 
 Defined results: a null source, language or topic is a category of its own, kept apart from any real value. A null or
 blank text has no tokens: its cell's probability applies, and is 1 in a cell without tokens. Repeated rows share
-their fate. A null ``doc_id`` hashes like a value. An empty table gives an empty result. Extra columns pass through
+their fate. A row without a ``doc_id`` is drawn by its text. An empty table gives an empty result. Extra columns pass through
 ``sample`` untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.storage import bounded_batches, materialise
+from scriptorium.llm.storage import bounded_batches, materialise, scratch
 
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -78,16 +79,27 @@ def _with_form(rows: DataFrame, topic: str | None) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
-def described(docs: DataFrame, topic: str | None = None) -> DataFrame:
-    """``doc_id``, the three categories and ``n_tokens`` of each row; ``topic`` names a column, else it follows from the text."""
+def _about(topic: str | None) -> list[Column]:
+    """What decides on a row: its id, a number to draw by, its categories and, last, its text."""
     names = ["source", "lang"] + ([topic] if topic else [])
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias("topic" if c == topic else c) for c in names), F.col("text").cast("string").cast("binary").alias("text"))
-    return _with_form(some, topic).select("doc_id", *DIMENSIONS, "n_tokens")
+    doc_id = F.col("doc_id").cast("long")
+    return [
+        doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(F.lit("no id"), F.col("text").cast("string"))).alias("draw_key"),
+        *(F.col(c).cast("string").alias("topic" if c == topic else c) for c in names), F.col("text").cast("string").cast("binary").alias("text"),
+    ]
+
+
+def described(docs: DataFrame, topic: str | None = None) -> DataFrame:
+    """``doc_id``, ``draw_key``, the three categories and ``n_tokens`` of each row; ``topic`` names a column, else it follows from the text."""
+    return _with_form(docs.select(*_about(topic)), topic).select("doc_id", "draw_key", *DIMENSIONS, "n_tokens")
 
 
 def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int, tolerance: float) -> np.ndarray:
-    """Weights of cells whose weighted shares of ``tokens`` match each margin's target shares, as far as they can."""
-    weight = np.ones(len(tokens))
+    """Weights of cells whose weighted shares of ``tokens`` match each margin's target shares, as far as they can.
+
+    Margins that no weights can meet together are warned of, with the largest difference that is left.
+    """
+    weight, worst = np.ones(len(tokens)), 0.0
     for _ in range(rounds):
         worst = 0.0
         for code, target in zip(codes, targets):
@@ -99,7 +111,9 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
             worst = max(worst, float(np.abs(now / total - target)[now > 0].max(initial=0)))
             weight = weight * ratio[code]
         if worst < tolerance:
-            break
+            return weight
+    if worst > 1e-4:
+        warnings.warn(f"raking left a margin {worst:.2g} off its target after {rounds} rounds", stacklevel=2)
     return weight
 
 
@@ -123,8 +137,11 @@ def calibrated(tokens: np.ndarray, weight: np.ndarray, budget: float) -> np.ndar
 
 def mix(described_docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """Add ``weight``, ``probability`` and ``selected`` to what ``described`` gives, which is written out first."""
-    described_docs = materialise(described_docs)
-    return described_docs.join(F.broadcast(_chances(described_docs, params)), _same_cell(), "inner").drop(*(f"{d}_" for d in DIMENSIONS)).withColumn("selected", _selected(params))
+    with scratch() as tables:
+        described_docs = materialise(described_docs)
+        chances = F.broadcast(_chances(described_docs, params))
+        out = described_docs.join(chances, _same_cell(), "inner").withColumn("selected", _selected(params))
+        return tables.result(out.drop("draw_key", *(f"{d}_" for d in DIMENSIONS)))
 
 
 def _same_cell() -> list[Column]:
@@ -132,7 +149,7 @@ def _same_cell() -> list[Column]:
 
 
 def _selected(params: MixParams) -> Column:
-    return chosen(F.col("doc_id"), params.seed) < F.col("probability")
+    return chosen(F.col("draw_key"), params.seed) < F.col("probability")
 
 
 def _chances(described_docs: DataFrame, params: MixParams) -> DataFrame:
@@ -160,9 +177,9 @@ def _chances(described_docs: DataFrame, params: MixParams) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def chosen(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) for each id."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11) / F.lit(float(1 << 53))
+def chosen(key: Column, seed: int) -> Column:
+    """A number in [0, 1) for each key."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) / F.lit(float(1 << 53))
 
 
 def sample(docs: DataFrame, params: MixParams = MixParams(), topic: str | None = None) -> DataFrame:
@@ -170,12 +187,8 @@ def sample(docs: DataFrame, params: MixParams = MixParams(), topic: str | None =
 
     The cells' probabilities come from a first pass over the texts, which writes ids, categories and counts only.
     """
-    about = materialise(described(docs, topic))
-    names = ["source", "lang"] + ([topic] if topic else [])
+    with scratch():
+        chances = F.broadcast(_chances(materialise(described(docs, topic)), params))
     # a row travels as one column, so that no column of it can clash with those that are added
-    held = docs.select(
-        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-        *(F.col(c).cast("string").alias("topic" if c == topic else c) for c in names), F.col("text").cast("string").cast("binary").alias("text"),
-    )
-    made = _with_form(held, topic).join(F.broadcast(_chances(about, params)), _same_cell())
-    return made.where(_selected(params)).select("row.*")
+    held = docs.select(F.struct("*").alias("row"), *_about(topic))
+    return _with_form(held, topic).join(chances, _same_cell()).where(_selected(params)).select("row.*")
