@@ -8,13 +8,17 @@ from the best-fit-decreasing solution as incumbent. The answer is a list of runs
 go to such sequences), and each piece finds its run by its rank among the pieces of its length. Ranks come from
 windows over (bucket of ids, length) and prefix sums of their counts, so no task holds all pieces of a hot length.
 
+The search is bounded by ``nodes``, by the fillings tried for a bin, and by three branches for a bin, so the answer may hold
+more bins than needed where the bound of ``fewest_bins`` isn't met; the log says both numbers.
+
 Defined results: a null text is taken as empty (one piece: the end token). Repeated rows are packed each. A null
-``doc_id`` is packed as any other. An empty table gives an empty result. Extra columns are ignored.
+``doc_id`` is packed as any other. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import os
 import re
 import zlib
@@ -25,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.storage import bounded_batches, materialise
+from scriptorium.llm.storage import bounded_batches, materialise, scratch
 
+_LOG = logging.getLogger(__name__)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -36,13 +41,16 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordEncoder:
     """Ids by a byte-level BPE tokenizer, which never joins characters of two pre-tokens, so each pre-token is encoded once.
 
-    Pre-tokens of texts in Latin scripts are found by vectorised comparisons of character classes; any other text
-    goes through the tokenizer as it is. Distinct pre-tokens are kept up to ``keep``, then forgotten.
+    Pre-tokens are found by vectorised comparisons of character classes. Only texts with characters that this Python's
+    Unicode tables don't know go through the tokenizer as they are, as it may know them. Distinct pre-tokens
+    are kept up to ``keep``, then forgotten.
     """
 
-    LETTER, NUMBER, SPACE, OTHER, END = range(5)
-    PLAIN_BELOW = 0x250
+    LETTER, NUMBER, SPACE, OTHER, END, UNKNOWN = range(6)
+    STOP = 0x110000
     AT_ONCE = 1 << 20
+    #: Longer pre-tokens (in bytes) are merged by the tokenizer, whose merging doesn't take quadratic time.
+    LONG = 400
 
     def __init__(self, path: str, keep: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,17 +60,9 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.merge = _merger(path)
         self.keep = keep
-        self.classes = np.full(self.PLAIN_BELOW + 1, self.OTHER, np.uint8)
-        for i in range(self.PLAIN_BELOW):
-            c = chr(i)
-            self.classes[i] = self.LETTER if c.isalpha() else self.NUMBER if c.isnumeric() else self.SPACE if self._space(c) else self.OTHER
-        self.classes[self.PLAIN_BELOW] = self.END
+        self.classes = _character_classes()
         self._forget()
 
-    @staticmethod
-    def _space(c: str) -> bool:
-        return c.isspace() and not "\x1c" <= c <= "\x1f"
-
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.offsets, self.lengths, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
@@ -94,7 +94,7 @@ class WordEncoder:
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-        plain = [len(c) == 0 or int(c.max()) < self.PLAIN_BELOW for c in codes]
+        plain = [len(c) == 0 or int(c.max()) < 0x250 or not (self.classes[c] == self.UNKNOWN).any() for c in codes]
         fast = iter(self._fast([t for t, p in zip(texts, plain) if p], [c for c, p in zip(codes, plain) if p]))
         for text, p in zip(texts, plain):
             yield next(fast) if p else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -102,9 +102,8 @@ class WordEncoder:
     def _fast(self, texts: list[str], codes: list[np.ndarray]) -> list[np.ndarray]:
         if not texts:
             return []
-        end = chr(self.PLAIN_BELOW)
-        big = end.join(texts) + end
-        stop = np.array([self.PLAIN_BELOW], np.uint32)
+        big = "\0".join(texts) + "\0"  # what stands between texts is no token
+        stop = np.array([self.STOP], np.uint32)
         point = np.concatenate([x for c in codes for x in (c, stop)])
         starts = self._starts(point)
         kind = self.classes[point[starts]]
@@ -146,13 +145,14 @@ class WordEncoder:
         return np.flatnonzero(start)
 
     def _index(self, tokens: list[str]) -> np.ndarray:
-        if len(self.known) > self.keep:
+        if len(self.known) > self.keep or len(self.pool) > 8 * self.keep:
             self._forget()
         known = self.known
         new = [t for t in dict.fromkeys(tokens) if t not in known]
         if new:
             if self.merge:
-                ids = [self.merge(t.encode()) for t in new]
+                raw = [t.encode() for t in new]
+                ids = [self.merge(b) if len(b) <= self.LONG else self.tokenizer.encode(t, add_special_tokens=False).ids for t, b in zip(new, raw)]
             else:
                 ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -164,6 +164,22 @@ class WordEncoder:
         return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
 
 
+def _character_classes() -> np.ndarray:
+    """The class of every code point, and of ``WordEncoder.STOP``, by which the tokenizer's rule tells characters apart."""
+    import unicodedata
+
+    w = WordEncoder
+    of = {"L": w.LETTER, "N": w.NUMBER}
+    out = np.full(w.STOP + 1, w.OTHER, np.uint8)
+    for i in range(w.STOP):
+        kind = unicodedata.category(chr(i))
+        out[i] = w.UNKNOWN if kind == "Cn" else of.get(kind[0], w.OTHER)
+    for i in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
+        out[i] = w.SPACE
+    out[w.STOP] = w.END
+    return out
+
+
 def _merger(path: str) -> Callable[[bytes], list[int]] | None:
     """The vocabulary's merges for a single pre-token, without the tokenizer's bookkeeping of offsets.
 
@@ -202,6 +218,8 @@ def pieces_of(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             who, piece, start, length, crc = [], [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
@@ -221,15 +239,15 @@ def pieces_of(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int =
 # ------------------------------------------------------------------------------------------------ bin completion
 
 
-def pack_histogram(counts: dict[int, int], size: int, nodes: int = 20_000) -> list[tuple[int, tuple[int, ...]]]:
+def pack_histogram(counts: dict[int, int], size: int, nodes: int = 20_000, report: dict | None = None) -> list[tuple[int, tuple[int, ...]]]:
     """Pack ``counts[length]`` pieces of each length into few bins of ``size``: a list of (times, lengths of a bin).
 
     ``nodes`` bounds the fillings looked at in the whole search; when they are spent, the incumbent is the answer.
+    ``report`` gets the number of ``bins``, a bound on the ``least`` possible, and the ``nodes`` that were used.
     """
     counts = {k: v for k, v in counts.items() if v > 0}
     incumbent = _best_fit(counts, size)
-    total = sum(k * v for k, v in counts.items())
-    least = -(-total // size)
+    least = fewest_bins(counts, size)
     best = sum(t for t, _ in incumbent)
     budget = [nodes]
     found = _greedy_completion(dict(counts), size)
@@ -239,9 +257,28 @@ def pack_histogram(counts: dict[int, int], size: int, nodes: int = 20_000) -> li
         found = _search(dict(counts), size, best, least, budget)
         if found is not None:
             incumbent = found
+    if report is not None:
+        report |= {"bins": sum(t for t, _ in incumbent), "least": least, "nodes": nodes - budget[0]}
     return incumbent
 
 
+def fewest_bins(counts: dict[int, int], size: int) -> int:
+    """A bound on how few bins can do (Martello and Toth's L2): their sum, once pieces that can't share a bin have theirs."""
+    number, total = np.zeros(size + 2, np.int64), np.zeros(size + 2, np.int64)
+    for length, n in counts.items():
+        number[length] += n
+        total[length] += n * length
+    number, total = np.cumsum(number), np.cumsum(total)  # of pieces up to a length
+    half = size // 2
+    best = -(-int(total[size]) // size)
+    for k in range(1, half + 1):
+        alone = int(number[size] - number[half])  # each needs a bin of its own
+        shared = int(number[size - k] - number[half]), int(total[size - k] - total[half])  # those with room for pieces of k and more
+        rest = int(total[half] - total[k - 1]) - (shared[0] * size - shared[1])
+        best = max(best, alone + max(0, -(-rest // size)))
+    return best
+
+
 def _greedy_completion(left: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
     """Bin completion without branching: the first undominated filling with the least waste around the largest length."""
     out = []
@@ -270,20 +307,25 @@ def _take(left: dict[int, int], bin_: tuple[int, ...]) -> tuple[int, tuple[int,
 def _fillings(left: dict[int, int], lengths: list[int], gap: int, limit: int, looks: int = 4000) -> list[tuple[int, ...]]:
     """Fillings of ``gap`` by at most five pieces and then as many of one length as fit, least waste first, undominated.
 
-    A filling to which another piece could be added is dominated, and so is one of equal sum whose pieces can be
-    packed into another's; of equal sums the one with the fewest, largest pieces is kept.
+    A filling to which another piece could be added is dominated, and so is one that has several pieces where one
+    piece of their sum would do. Of fillings of one sum up to ``limit`` are kept, those with the largest pieces first.
     """
     usable = [x for x in lengths if x <= gap and left[x] > 0]
     if not usable:
         return [()]
-    found: dict[int, tuple[int, ...]] = {}
+    found: dict[int, list[tuple[int, ...]]] = {}
     seen = [0]
     have = set(usable)
 
+    def keep(total: int, filling: tuple[int, ...]) -> None:
+        mine = found.setdefault(total, [])
+        if len(mine) < limit and filling not in mine:
+            mine.append(filling)
+
     def go(at: int, room: int, held: tuple[int, ...]) -> bool:
         seen[0] += 1
         if room in have and left[room] > held.count(room):
-            found.setdefault(gap, (*held, room))
+            keep(gap, (*held, room))
             return True
         fits = [i for i in range(at, len(usable)) if usable[i] <= room and left[usable[i]] > held.count(usable[i])]
         if not fits or len(held) == 4:
@@ -291,17 +333,16 @@ def _fillings(left: dict[int, int], lengths: list[int], gap: int, limit: int, lo
             for i in fits:
                 n = min(rest // usable[i], left[usable[i]] - full.count(usable[i]))
                 full, rest = full + (usable[i],) * n, rest - usable[i] * n
-            kept = found.get(gap - rest)
-            if kept is None or len(full) < len(kept):
-                found[gap - rest] = full
+            keep(gap - rest, full)
             return rest == 0
         for i in fits:
-            if seen[0] > looks or (go(i, room - usable[i], (*held, usable[i])) and limit == 1):
-                return gap in found
+            go(i, room - usable[i], (*held, usable[i]))
+            if seen[0] > looks or len(found.get(gap, ())) >= limit:
+                break
         return gap in found
 
     go(0, gap, ())
-    return [found[s] for s in sorted(found, reverse=True)][:limit]
+    return [f for s in sorted(found, reverse=True) for f in found[s]][:limit]
 
 
 def _search(left: dict[int, int], size: int, best: int, least: int, budget: list[int], width: int = 3) -> list[tuple[int, tuple[int, ...]]] | None:
@@ -405,27 +446,37 @@ def runs_of(bins: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int
 def pack(pieces: DataFrame, size: int = 2048, nodes: int = 20_000) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to token pieces: bins of at most ``size`` tokens, filled without gaps."""
     spark = pieces.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    table = materialise(pieces.withColumn("bucket", F.pmod(F.hash("doc_id", "piece"), F.lit(buckets))))
-    counts = materialise(table.groupBy("bucket", "length").count())
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    if histogram and not 0 < min(histogram) <= max(histogram) <= size:
-        raise ValueError("a piece is empty or longer than a sequence")
-    runs = runs_of(pack_histogram(histogram, size, nodes))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    within = Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = table.withColumn("rank", F.row_number().over(within) - 1).join(base, ["bucket", "length"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("base")).drop("base", "bucket")
-    schema = "length long, r0 long, r1 long, seq long, off long, each long"
-    # at most a few runs for each of fewer lengths than a sequence has tokens: a proven bound
-    placed = ranked.join(F.broadcast(spark.createDataFrame(runs, schema)), "length").where("rank >= r0 AND rank < r1")
-    step = F.col("rank") - F.col("r0")
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("seq") + F.floor(step / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("off") + step % F.col("each") * F.col("length")).cast("long").alias("offset"),
-    )
+    with scratch() as tables:
+        table = materialise(pieces)
+        histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}
+        if histogram and not 0 < min(histogram) <= max(histogram) <= size:
+            raise ValueError("a piece is empty or longer than a sequence")
+        report: dict = {}
+        runs = runs_of(pack_histogram(histogram, size, nodes, report))
+        _LOG.info("packed %d pieces into %d sequences, at least %d; %d nodes of %d", sum(histogram.values()), report["bins"], report["least"], report["nodes"], nodes)
+        # a window's partition is a bucket of bounded size of the pieces of one length
+        buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), sum(histogram.values()) // 50_000)
+        dealt = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)))
+        counts = materialise(dealt.groupBy("bucket", "length").count())
+        before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        base = counts.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+        within = Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start", "ids_crc32")
+        ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(base, ["bucket", "length"])
+        ranked = ranked.withColumn("rank", F.col("rank") + F.col("base")).drop("base", "bucket")
+        # a row for each of at most ``size`` lengths, with its runs, which the search's nodes bound: a proven bound
+        by_length: dict[int, list] = {}
+        for length, *run in sorted(runs):
+            by_length.setdefault(length, []).append(tuple(run))
+        schema = "length long, runs array<struct<r0: long, r1: long, seq: long, off: long, each: long>>"
+        placed = ranked.join(F.broadcast(spark.createDataFrame(list(by_length.items()), schema)), "length")
+        run = F.element_at("runs", F.size(F.filter("runs", lambda r: r["r0"] <= F.col("rank"))))
+        placed = placed.withColumn("run", run)
+        step = F.col("rank") - F.col("run.r0")
+        return tables.result(placed.select(
+            "doc_id", "piece", "start", "length", "ids_crc32",
+            (F.col("run.seq") + F.floor(step / F.col("run.each"))).cast("long").alias("sequence_id"),
+            (F.col("run.off") + step % F.col("run.each") * F.col("length")).cast("long").alias("offset"),
+        ))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, nodes: int = 20_000) -> DataFrame:
