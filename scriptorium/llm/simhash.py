@@ -12,13 +12,14 @@ Equal fingerprints are collapsed first, so copies cost nothing. What the tables
 bounded size (see ``buckets``) and leaves them as chains of links, never as all pairs.
 
 Defined results: a null or blank text has no shingles and fingerprint zero, which links like any other. Repeated
-rows get equal results; rows with one ``doc_id`` count as one document. A null ``doc_id`` is linked as part of its
-fingerprint, but names no component unless no other row of it has an id. An empty table gives an empty result.
-Columns beyond ``doc_id`` and ``text`` are ignored, whatever their names.
+rows get equal results; rows with one ``doc_id`` count as one document. A row without a ``doc_id`` links like any other, but
+names no component: that of rows without an id alone is null. Ids must be smaller than 2**62. An empty table gives an empty
+result. Columns beyond ``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.buckets import chained, dealt, join_labels, whole_groups
 from scriptorium.llm.components import connected_components
-from scriptorium.llm.storage import bounded_batches, materialise
+from scriptorium.llm.storage import bounded_batches, materialise, scratch
 
 #: Byte value to eight bytes that hold its bits, the most significant first.
+#: Names of nodes that have no id of their own begin here, so that a component with an id is named by one.
+NO_ID = 1 << 62
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
@@ -39,8 +42,8 @@ _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np
 class SimHashParams:
     """``shingle`` words to a shingle; ``words`` 64-bit words to a fingerprint; links at ``distance`` bits or fewer.
 
-    ``segments`` lists ``(width, radius)`` from the most significant bit on, within a word of the fingerprint each.
-    ``exhaustive`` demands the pigeonhole bound, with which no link is missed. ``near``: see ``buckets.dealt``.
+    ``segments`` lists ``(width, radius)`` from the most significant bit on; one that doesn't fit into the rest of a word begins
+    in the next. ``exhaustive`` demands that they cover all bits and meet the pigeonhole bound, so that no link is missed. ``near``: see ``buckets.dealt``.
     ``distinct`` counts each different shingle of a text once, so that the fingerprint is one of a set.
     """
 
@@ -54,7 +57,7 @@ class SimHashParams:
     distinct: bool = False
 
     def __post_init__(self) -> None:
-        if sum(w for w, _ in self.segments) != 64 * self.words:
+        if self.exhaustive and sum(w for w, _ in self.segments) != 64 * self.words:
             raise ValueError("the segments must cover the fingerprint")
         if any(r not in (0, 1) for _, r in self.segments):
             raise ValueError("a segment's radius is 0 or 1")
@@ -62,6 +65,25 @@ class SimHashParams:
             raise ValueError("these segments can miss links within the distance")
 
 
+#: Share of bits in which fingerprints of sets of a similarity of 0.8 differ.
+APART = 0.1524
+
+
+def planned(n: int, shingle: int = 5, recall: float = 0.994, bucket: int = 64) -> SimHashParams:
+    """Parameters that make pairs of a similarity of 0.8 candidates with probability ``recall``, whatever the number of texts.
+
+    Segments are as wide as leaves about ``bucket`` unrelated texts to a value (16 bits at least), and there are as many as
+    the recall needs; so what is compared for a text doesn't grow with the corpus, and what is shuffled grows slowly.
+    """
+    width = min(32, max(16, math.ceil(math.log2(max(2, n) / bucket))))
+    met = (1 - APART) ** width + width * APART * (1 - APART) ** (width - 1)
+    segments = math.ceil(math.log(1 - recall) / math.log(1 - met))
+    words = max(4, math.ceil(segments / (64 // width)))
+    bits = 64 * words
+    distance = math.floor(APART * bits + 3.3 * math.sqrt(APART * (1 - APART) * bits))
+    return SimHashParams(shingle=shingle, words=words, distance=distance, segments=((width, 1),) * segments, exhaustive=False, near=8, distinct=True)
+
+
 def shingles(text: bytes, shingle: int) -> list[bytes]:
     """Each run of ``shingle`` words of one UTF-8 text, in order; all its words as one if there are fewer."""
     parts = text.lower().split()
@@ -87,11 +109,12 @@ def fingerprint(text: bytes, shingle: int = 3, words: int = 1, distinct: bool =
         pieces = list(dict.fromkeys(pieces))
     n = len(pieces)
     bits = np.zeros(64 * words, np.int64)
-    for at in range(0, n, 1 << 16):
-        some = pieces[at : at + (1 << 16)]
+    for at in range(0, n, 1 << 13):
+        some = pieces[at : at + (1 << 13)]
         digest = np.empty((len(some), words), ">u8")
-        for w in range(words):
-            digest[:, w] = [xxhash.xxh64_intdigest(p, 42 + w) for p in some]
+        digest[:, 0] = first = np.array([xxhash.xxh64_intdigest(p, 42) for p in some], np.uint64)
+        for w in range(1, words):
+            digest[:, w] = _mixed(first, w)
         lanes = _SPREAD[digest.view(np.uint8).reshape(len(some), -1)]
         for row in range(0, len(some), 255):
             bits += lanes[row : row + 255].sum(axis=0, dtype=np.uint64).view(np.uint8)
@@ -99,27 +122,49 @@ def fingerprint(text: bytes, shingle: int = 3, words: int = 1, distinct: bool =
     return [int(x) for x in packed]
 
 
-def fingerprints(docs: DataFrame, params: SimHashParams) -> DataFrame:
-    """``doc_id`` and the words ``f0``, ``f1``, ... of the fingerprint (as signed LONGs) of each row's whole text."""
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Another 64 bits from each hash, by the finalizer of splitmix64."""
+    x = hashes + np.uint64(word * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, params: SimHashParams, digest: bool = False) -> DataFrame:
+    """``doc_id`` and the words ``f0``, ``f1``, ... of the fingerprint (as signed LONGs) of each row's whole text; ``digest`` adds its MD5."""
     bounded_batches(docs.sparkSession)
     names = [f"f{i}" for i in range(params.words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            *kept, texts = batch.columns
             rows = np.array([fingerprint(t.as_py() or b"", params.shingle, params.words, params.distinct) for t in texts], np.uint64)
             rows = rows.reshape(batch.num_rows, params.words).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, i]) for i in range(params.words))], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(rows[:, i]) for i in range(params.words))], [*batch.schema.names[:-1], *names])
+
+    some = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")]
+    if digest:
+        some.insert(1, text_digest(F.col("text")).alias("digest"))
+    return docs.select(*some).mapInArrow(run, "doc_id long, " + ("digest binary, " if digest else "") + ", ".join(f"{n} long" for n in names))
 
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return some.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+
+def text_digest(text: Column) -> Column:
+    """16 bytes that tell a text from any other; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
 def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, the fingerprint's words and ``component_id``, the smallest reachable id."""
+    with scratch() as tables:
+        found = grouped(materialise(fingerprints(docs, params)), params)
+        return tables.result(found.withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id"))))
+
+
+def grouped(prints: DataFrame, params: SimHashParams) -> DataFrame:
+    """``prints`` (a table of ``doc_id`` and the fingerprint's words) with ``component_id``, from ``NO_ID`` on if no id is in it."""
     names = [f"f{i}" for i in range(params.words)]
-    prints = materialise(fingerprints(docs, params))
-    reps = materialise(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")))
+    own = F.xxhash64(*names).bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
+    reps = materialise(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")).withColumn("rep", F.coalesce("rep", own)))
     members = connected_components(links(reps, params)).withColumnRenamed("node", "rep")
     named = reps.join(members, "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, names)
@@ -131,10 +176,10 @@ def links(reps: DataFrame, params: SimHashParams) -> DataFrame:
     names = [f"f{i}" for i in range(params.words)]
     probes = sum(1 + r * w // 2 for w, r in params.segments)
     n = reps.count()
-    rows = reps.where("rep IS NOT NULL").select("rep", *names, F.explode(_entries(params, names)).alias("e"))
+    rows = reps.select("rep", *names, F.explode(_entries(params, names)).alias("e"))
     rows = rows.select(F.col("e.tab").alias("tab"), F.col("e.key").alias("key"), F.col("e.probe").alias("probe"), "rep", *names)
     groups = dealt(rows, n * probes, params.block_rows, "rep", params.near)
-    bounded_batches(spark, 20_000)
+    bounded_batches(spark)
     distance = params.distance
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +195,9 @@ def _entries(params: SimHashParams, names: list[str]) -> Column:
     """All table entries of a fingerprint, and all probes of its segments' balls."""
     out, bit = [], 0
     for tab, (width, radius) in enumerate(params.segments):
+        if bit % 64 + width > 64:
+            bit += 64 - bit % 64
         word, shift = names[bit // 64], 64 - bit % 64 - width
-        if shift < 0:
-            raise ValueError("a segment must lie within one word")
         out.extend(_ball(F.col(word), tab, width, shift, radius))
         bit += width
     return F.concat(*out)
@@ -193,7 +238,7 @@ def _linked(table: pa.Table, starts: np.ndarray, names: list[str], distance: int
         right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[some], n)
         new = ((right > left) | probe[right]) & ((meet[left] % 2 == 0) | (block[left] != block[right]))
         left, right = left[new], right[new]
-        apart = np.zeros(len(left), np.uint8)
+        apart = np.zeros(len(left), np.uint16)
         for word in prints:
             apart += np.bitwise_count(word[left] ^ word[right])
         near = apart <= distance
