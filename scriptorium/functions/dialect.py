@@ -76,6 +76,10 @@ class Dialect:
     def double(self, value: str) -> str:
         return f"cast({value} as double)"
 
+    def n_words(self, text: str) -> str:
+        """How many white-space words a text has, without an array of them."""
+        return f"regexp_count({text}, {self.text(f'[^{BLANK}]+')})"
+
     # what both spell alike
 
     def words(self, text: str) -> str:
@@ -125,6 +129,9 @@ class Duck(Dialect):
     def replace_all(self, text: str, pattern: str, by: str) -> str:
         return f"regexp_replace({text}, {self.text(pattern)}, {self.text(by.replace('$', chr(92)))}, 'g')"
 
+    def n_words(self, text: str) -> str:
+        return f"len({self.words(text)})"
+
     def matches(self, text: str, pattern: str) -> str:
         return f"regexp_matches({text}, {self.text(pattern)})"
 

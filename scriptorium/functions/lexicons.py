@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Sequence
+from functools import lru_cache
+from pathlib import Path
+
 # The code blocks of scripts, in the order in which ties between them are settled.
 SCRIPTS = {
     "pa": "\\x{0A00}-\\x{0A7F}", "gu": "\\x{0A80}-\\x{0AFF}", "or": "\\x{0B00}-\\x{0B7F}", "ta": "\\x{0B80}-\\x{0BFF}", "te": "\\x{0C00}-\\x{0C7F}",
@@ -179,19 +184,36 @@ SLANG = {
     "kaise": "how", "kaisa": "how", "kab": "when", "kahan": "where",
 }
 
-# Profane words by severity. Other languages' lists are given as a parameter.
+# Profane words by language and severity; entries of several words stand after a comma.
 PROFANITY = {
-    "extreme": """
-        fuck fucking motherfucker fucker fck fuk shit bullshit horseshit shitty bitch bitches bastard asshole assholes ass dick dickhead cock pussy cunt
-        damn dammit goddamn hell whore slut prostitute piss pissed chutiya chutiye chodu lodu lode lund bhenchod behenchod bc madarchod maderchod mc
-        gandu gand gaandu harami haramzada haraamzaada kutta kutte kutiya saala sala
-    """,
-    "moderate": """
-        stupid idiot dumb moron fool foolish hate hatred suck sucks sucked loser losers pathetic worthless crap crappy jerk jerks
-        bewakoof bevkoof pagal budhu ullu kamina kameena badtameez
-    """,
-    "mild": "dang darn heck wtf omfg bloody blimey bugger besharam badmash ghatiya",
-}
+    "english": {
+        "extreme": "fuck, fucking, motherfucker, fucker, fck, fuk, f**k, shit, bullshit, horseshit, shitty, bitch, bitches, bastard, asshole, assholes, ass, dick, dickhead, cock, pussy, cunt, "
+        "damn, dammit, goddamn, hell, whore, slut, prostitute, piss, pissed",
+        "moderate": "stupid, idiot, dumb, moron, fool, foolish, hate, hatred, suck, sucks, sucked, loser, losers, pathetic, worthless, crap, crappy, jerk, jerks",
+        "mild": "dang, darn, heck, wtf, omfg, bloody, blimey, bugger",
+    },
+    "hindi": {
+        "extreme": "chutiya, chutiye, chodu, lodu, lode, lund, bhenchod, behenchod, behen chod, bc, madarchod, maderchod, mc, gandu, gand, gaandu, harami, haramzada, haraamzaada, kutta, kutte, "
+        "kutiya, saala, sala, चूतिया, चूतिये, चोदू, लोडू, लोड़े, लंड, भेनचोद, बहनचोद, मादरचोद, गांडू, गांड, हरामी, हरामज़ादा, कुत्ता, कुत्ते, कुतिया, साला",
+        "moderate": "bewakoof, bevkoof, pagal, budhu, ullu, kamina, kameena, badtameez, बेवकूफ, पागल, बुद्धू, उल्लू, कमीना, बदतमीज़",
+        "mild": "besharam, badmash, ghatiya, बेशरम, बदमाश, घटिया",
+    },
+    "marathi": {"extreme": "zhavadya, zhavnya, zavadya, zhav, ghaan, ghand, aaichi, aai chi, झवाड्या, झवणे, घाण, आईची", "moderate": "veda, vedya, shendi, वेडा, शेंडी"},
+    "tamil": {"extreme": "punda, pundai, otha, oombu, panni, naaye, thevidiya, புண்டை, ஓத்த, ஊம்பு, பன்னி, நாயே, தேவிடியா", "moderate": "loosu, karumam, மூடு, லூசு"},
+    "telugu": {"extreme": "dengu, dengey, puka, modda, gudda, lanjakoduku, lanjala, దెంగు, పూక, మొద్ద, గుద్ద, లంజ", "moderate": "erripuka, edava, erri, ఎర్రిపూక, ఎదవ"},
+    "kannada": {"extreme": "thika, thikamuchko, kati, boli, kathe, ತೀಕ, ಕತ್ತೆ, ಬೋಳಿ", "moderate": "bevakoof, buddi, ಬುದ್ದಿ"},
+    "punjabi": {"extreme": "bhen di, bhendi, khotya, panchod, ਭੈਣ ਦੀ, ਪੰਚੋਦ, ਖੋਤਿਆ", "moderate": "gadha, gadhe, kutta, ਗਧਾ, ਕੁੱਤਾ"},
+    "gujarati": {"extreme": "lavde, lavdu, lodu, bhosdi, લવડે, લોડું, ભોસડી", "moderate": "bewakoof, nadan, બેવકૂફ, નાદાન"},
+    "bengali": {"extreme": "choda, chudi, madarchod, magir pola, চোদা, চুদি, মাগির পোলা, মাদারচোদ", "moderate": "buddhu, gadha, boka, বুদ্ধু, গাধা, বোকা"},
+    "malayalam": {"extreme": "myre, myran, kunna, punda, thayoli, മൈര്, കുണ്ണ, പുണ്ട, തായോളി", "moderate": "patti, pattikaran, പട്ടി"},
+}
+
+
+def profane(languages: Sequence[str] | None = None) -> dict[str, list[str]]:
+    """The words of each severity in some languages, by default in all."""
+    chosen = [PROFANITY[x] for x in (languages or PROFANITY)]
+    return {level: sorted({w for words in chosen for w in words.get(level, "").split(", ") if w}) for level in ("extreme", "moderate", "mild")}
+
 
 # Terms and patterns of the domains.
 CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR", "₽": "RUB", "₩": "KRW", "₪": "ILS", "₦": "NGN", "₨": "PKR", "Rs": "INR", "Rs.": "INR"}
@@ -238,24 +260,21 @@ TECHNICAL = {
     "science": ("hypothesis", "experiment", "theory", "data", "analysis", "measurement", "error", "precision", "accuracy", "validation"),
 }
 
-# Romanized Hindi words and their spelling in Devanagari. Other languages' tables are read from files.
-_HINDI = """
-aaj आज, kal कल, parso परसों, abhi अभी, ab अब, pehle पहले, baad बाद, subah सुबह, sham शाम, raat रात, din दिन, mai मैं, main मैं
-mein मैं, hum हम, tum तुम, aap आप, yeh यह, ye ये, voh वह, vo वो, woh वह, mera मेरा, meri मेरी, mere मेरे, tera तेरा, teri तेरी
-tere तेरे, uska उसका, uski उसकी, unka उनका, hai है, hain हैं, hoon हूँ, hun हूँ, ho हो, tha था, thi थी, the थे, hoga होगा, hogi होगी
-kar कर, kara करा, karo करो, karna करना, karte करते, karti करती, jaa जा, jaana जाना, jao जाओ, aana आना, aao आओ, aa आ, de दे
-dena देना, le ले, lena लेना, bolo बोलो, bolna बोलना, dekh देख, dekhna देखना, sun सुन, sunna सुनना, khao खाओ, khana खाना, piyo पियो
-peena पीना, bahut बहुत, bohot बहुत, khush खुश, dukhi दुखी, achha अच्छा, accha अच्छा, bura बुरा, mast मस्त, badiya बढ़िया
-zabardast जबरदस्त, sundar सुंदर, khoobsurat खूबसूरत, bada बड़ा, badi बड़ी, chota छोटा, choti छोटी, naya नया, nayi नई, purana पुराना
-thoda थोड़ा, jyada ज्यादा, zyada ज्यादा, sahi सही, galat गलत, kya क्या, kaise कैसे, kaisa कैसा, kahan कहाँ, kab कब, kyun क्यों
-kyu क्यूँ, kitna कितना, kitne कितने, kaun कौन, kis किस, kisse किससे, nahi नहीं, nahin नहीं, na ना, mat मत, bilkul बिलकुल, haan हाँ
-ha हाँ, han हाँ, theek ठीक, thik ठीक, zaroor जरूर, maa माँ, ma माँ, baap बाप, papa पापा, bhai भाई, behen बहन, beta बेटा, beti बेटी
-dadi दादी, dada दादा, nani नानी, nana नाना, ghar घर, kaam काम, log लोग, dost दोस्त, yaar यार, baat बात, cheez चीज, jagah जगह
-waqt वक़्त, paisa पैसा, paise पैसे, rupay रुपय, rupaye रुपये, shahar शहर, gaon गाँव, desh देश, movie मूवी, film फिल्म, phone फोन
-mobile मोबाइल, office ऑफिस, school स्कूल, college कॉलेज, hospital हॉस्पिटल, traffic ट्रैफिक, bus बस, train ट्रेन, station स्टेशन
-market मार्केट, photo फोटो, video वीडियो
-"""
-HINDI = dict(pair.split() for line in _HINDI.strip().splitlines() for pair in line.split(", "))
+RESOURCES = Path(__file__).parent.parent / "resources"
+
+
+@lru_cache(maxsize=None)
+def dictionary(lang: str) -> dict[str, str]:
+    """Romanized words of a language and their native spelling: fixed values, one to a line in ``resources``. Other tables are read from files."""
+    code = {"hi": "hin", "mr": "mar", "bn": "ben", "ta": "tam", "te": "tel", "pa": "pan"}.get(lang, lang)
+    path = RESOURCES / f"romanized_{code}.csv"
+    if not path.exists():
+        return {}
+    with path.open(encoding="utf-8", newline="") as f:
+        return {row["roman"]: row["native"] for row in csv.DictReader(f)}
+
+
+HINDI = dictionary("hin")
 
 
 def groups(text: str) -> list[list[str]]:

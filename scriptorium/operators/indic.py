@@ -15,17 +15,52 @@ from scriptorium.operators.text import Step
 BLOCKS = {"hi": 0x0900, "mr": 0x0900, "bn": 0x0980, "as": 0x0980, "pa": 0x0A00, "gu": 0x0A80, "or": 0x0B00, "ta": 0x0B80, "te": 0x0C00, "kn": 0x0C80, "ml": 0x0D00}
 # Punctuation that stands apart from words.
 PUNCTUATION = "!\"#$%&'()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~\\x{0964}\\x{0965}\\x{AAF0}\\x{AAF1}\\x{ABEB}-\\x{ABEF}\\x{1C7E}\\x{1C7F}"
-# Letters with a nukta and their parts, in Devanagari.
-NUKTAS = {"ऩ": "ऩ", "ऱ": "ऱ", "ऴ": "ऴ", "क़": "क़", "ख़": "ख़", "ग़": "ग़", "ज़": "ज़", "ड़": "ड़", "ढ़": "ढ़", "फ़": "फ़", "य़": "य़"}
 # Punctuation marks and what they become, in this order.
 MARKS = (("﻿", ""), ("„", '"'), ("“", '"'), ("”", '"'), ("–", "-"), ("—", " - "), ("´", "'"), ("‘", "'"), ("‚", "'"), ("’", "'"), ("''", '"'), ("…", "..."))
 
 
-def tokenized(d: Dialect, column: str = "text") -> Sequence[Step]:
+# Punctuation of Urdu.
+URDU_PUNCTUATION = PUNCTUATION.split("\\x{0964}")[0] + "\\x{0609}\\x{060A}\\x{060C}\\x{061E}\\x{066A}-\\x{066D}\\x{06D4}"
+
+
+def tokenized(d: Dialect, column: str = "text", lang: str = "hi") -> Sequence[Step]:
     """Tokens, with punctuation apart; digits with separators between them stay together but for a text's very first."""
-    spaced = d.replace_all(f"replace({column}, chr(9), ' ')", f"([{PUNCTUATION}])", " $1 ")
-    squeezed = d.replace_all(spaced, " +", " ")
-    return [{"tok_text": f"trim({squeezed})"}, {"tokens": ("split(tok_text, ' ')" if d.name == "spark" else "string_split(tok_text, ' ')")}]
+    spaced = d.replace_all(f"replace({column}, chr(9), ' ')", f"([{URDU_PUNCTUATION if lang == 'ur' else PUNCTUATION}])", " $1 ")
+    steps = [{"tok_spaced": "trim(" + d.replace_all(spaced, " +", " ") + ")"}]
+    steps += [{"tok_text": "tok_spaced"}] if lang == "ur" else whole_numbers(d, "tok_spaced", "tok_text")
+    return [*steps, {"tokens": ("split(tok_text, ' ')" if d.name == "spark" else "string_split(tok_text, ' ')")}]
+
+
+def whole_numbers(d: Dialect, column: str, out: str) -> Sequence[Step]:
+    """Numbers and dates that were cut at their separators put together, but for one at the very beginning."""
+    head = d.one(column, "^(?:[0-9]+ [,.:/] )+[0-9]+", 0)
+    rest = f"substr({column}, length({out}_head) + 1)"
+    if d.name == "spark":
+        joined = d.replace_all(rest, "(?<=[0-9]) ([,.:/]) (?=[0-9])", "$1")
+    else:  # no lookaround: a digit is taken on both sides, so that it takes two turns where one digit stands between two separators
+        joined = d.replace_all(d.replace_all(rest, "([0-9]) ([,.:/]) ([0-9])", "$1$2$3"), "([0-9]) ([,.:/]) ([0-9])", "$1$2$3")
+    return [{f"{out}_head": head}, {out: f"concat({out}_head, {joined})"}]
+
+
+def detokenized_rules(d: Dialect, column: str = "text") -> Sequence[Step]:
+    """Tokens joined again: numbers, marks that lean on both sides, closing and opening marks, and quotes that open and close in turn."""
+    out = "det_numbers"
+    for pattern, by in ((r" ([-/\\]) ", "$1"), (r" ([!%)\]},.:;>?\x{0964}\x{0965}])", "$1"), (r"([#$(\[{<@]) ", "$1")):
+        out = d.replace_all(out, pattern, by)
+    steps = [*whole_numbers(d, column, "det_numbers"), {"det_0": out}]
+    for i, quote in enumerate(("'", '"', "`")):
+        # between two quotes stands every second part: the first quote leans to the right, the second to the left
+        parts = f"split(det_{i}, {d.text(quote)})" if d.name == "spark" else f"string_split(det_{i}, {d.text(quote)})"
+        n = d.size(f"det_parts_{i}")
+        bare = "regexp_replace(p_, '^ ', '')" if d.name == "spark" else "regexp_replace(p_, '^ ', '')"
+        trimmed = f"CASE WHEN i_ % 2 = 1 THEN regexp_replace({bare}, ' $', '') ELSE p_ END"
+        lone = f"CASE WHEN i_ % 2 = 1 THEN CASE WHEN i_ = {n} - 1 THEN {bare} ELSE {trimmed} END ELSE p_ END"
+        if d.name == "spark":
+            joined = f"array_join(transform(det_parts_{i}, (p_, i_) -> {lone}), {d.text(quote)})"
+        else:
+            joined = f"array_to_string(list_transform(det_parts_{i}, lambda p_, j_: {lone.replace('i_ ', '(j_ - 1) ')}), {d.text(quote)})"
+        steps += [{f"det_parts_{i}": parts}, {f"det_{i + 1}": joined}]
+    return [*steps, {"detokenized": "det_3"}]
 
 
 def moved(d: Dialect, source: str, target: str, column: str = "text") -> str:
@@ -44,63 +79,8 @@ def _tamil(offset: int) -> int:
     return {0x2B: 0x2A, 0x2C: 0x2A, 0x2D: 0x2A, 0x36: 0x37}.get(offset, offset)
 
 
-def normalized(d: Dialect, column: str = "text", drop_nuktas: bool = False, nasals: str = "keep") -> Sequence[Step]:
-    """Devanagari in one spelling: joiners dropped, marks made plain, nuktas apart, dandas and visargas typed as such."""
-    out = d.replace_all(column, "[\\x{200B}\\x{200C}\\x{200D}\\x{00AD}\\x{2060}]", "")
-    for one, other in MARKS:
-        out = f"replace({out}, {d.text(one)}, {d.text(other)})"
-    out = f"replace({out}, {d.text(chr(0x972))}, {d.text(chr(0x90F))})"
-    for code in (0x929, 0x931, 0x934, *range(0x958, 0x960)):
-        base = {0x929: 0x928, 0x931: 0x930, 0x934: 0x933, 0x958: 0x915, 0x959: 0x916, 0x95A: 0x917, 0x95B: 0x91C, 0x95C: 0x921, 0x95D: 0x922, 0x95E: 0x92B, 0x95F: 0x92F}[code]
-        out = f"replace({out}, {d.text(chr(code))}, {d.text(chr(base) + ('' if drop_nuktas else chr(0x93C)))})"
-    if nasals == "anusvara":
-        out = d.replace_all(out, "[\\x{0919}\\x{091E}\\x{0923}\\x{0928}\\x{092E}]\\x{094D}([\\x{0915}-\\x{0939}])", "ं$1")
-    out = f"replace({out}, '|', {d.text(chr(0x964))})"
-    return [{"normalized": d.replace_all(out, "([\\x{0900}-\\x{097F}]):", "$1ः")}]
-
-
 # ------------------------------------------------------------------------------------------------ pandas UDFs
 
-_VOWELS = {*range(0x05, 0x15), *range(0x3E, 0x4D), 0x60, 0x61, 0x62, 0x63}
-_DEPENDENT = {*range(0x3E, 0x4D), 0x62, 0x63}
-_CONSONANTS = {*range(0x15, 0x3A), *range(0x58, 0x60)}
-_PLOSIVES = {*range(0x15, 0x2E)} - {0x19, 0x1E, 0x23, 0x28, 0x29}
-
-
-def _syllables(word: str, lang: str) -> list[str]:
-    """Cut after a vowel or a bare consonant, but not before an anusvara that closes the syllable."""
-    start = BLOCKS[lang]
-    at = [ord(c) - start for c in word]
-    valid = lambda o: 0 <= o < 0x80 and (o in _VOWELS or o in _CONSONANTS or o in (1, 2, 3, 0x3C, 0x4D))
-    nasal = lambda o: o in (1, 2)
-    out, held = [], ""
-    for i, (c, o) in enumerate(zip(word, at)):
-        held += c
-        after = at[i + 1] if i + 1 < len(at) else None
-        closes = after is not None and nasal(after) and (i + 2 == len(at) or at[i + 2] not in _PLOSIVES)
-        if not valid(o) or (after is not None and not valid(after)):
-            cut = True
-        elif o in _VOWELS:
-            cut = not closes
-        elif after is not None and (o in _CONSONANTS or o == 0x3C):
-            cut = after in _CONSONANTS or (after in _VOWELS and after not in _DEPENDENT) or (nasal(after) and not closes)
-        else:
-            cut = False
-        if cut:
-            out.append(held)
-            held = ""
-    return [s for s in [*out, held] if s.strip()]
-
-
-def syllables(column: Column, lang: str = "hi") -> Column:
-    """Orthographic syllables of each text."""
-
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else _syllables(t, lang))
-
-    return split(column)
-
 
 def _sentences(text: str, danda: bool) -> list[str]:
     stops = "।॥?!" if danda and ("।" in text or "॥" in text) else "?!.।॥"
@@ -140,59 +120,3 @@ def sentences(column: Column, lang: str = "hi") -> Column:
         return texts.map(lambda t: [] if t is None else _sentences(t, danda))
 
     return split(column)
-
-
-def detokenized(column: Column) -> Column:
-    """Tokens joined again: closing marks to the left, opening marks to the right."""
-
-    @F.pandas_udf("string")
-    def join(texts: pd.Series) -> pd.Series:
-        out = texts.str.replace(r" ([!%)\]},.:;>?।॥])", r"\1", regex=True)
-        out = out.str.replace(r"([#$(\[{<@]) ", r"\1", regex=True)
-        return out.str.replace(r" ([-/\\]) ", r"\1", regex=True)
-
-    return join(column)
-
-
-def phonetic_offsets(spark) -> DataFrame:
-    """Offsets of a script's block with their classes, as an array of twelve 0 or 1 properties each; derived by rule."""
-    rows = []
-    for o in range(0x70):
-        place = next((k for k, (a, b) in enumerate(((0x15, 0x19), (0x1A, 0x1E), (0x1F, 0x23), (0x24, 0x29), (0x2A, 0x2E))) if a <= o <= b), -1)
-        voiced, aspirated = place >= 0 and (o - 0x15) % 5 in (2, 3), place >= 0 and (o - 0x15) % 5 in (1, 3)
-        bits = [o in _VOWELS, o in _DEPENDENT, o in _CONSONANTS, o in _PLOSIVES, voiced, aspirated, *(place == k for k in range(5)), o in (1, 2)]
-        rows.append((o, [int(b) for b in bits]))
-    return spark.createDataFrame(rows, "o int, bits array<int>")
-
-
-def similarity_matrix(spark) -> DataFrame:
-    """Cosine of the property vectors of every two offsets, and each row's share of it; 112 offsets, a fixed number."""
-    one = phonetic_offsets(spark)
-    two = one.select(F.col("o").alias("o2"), F.col("bits").alias("bits2"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0), lambda s, x: s + x)
-    both = one.crossJoin(F.broadcast(two))
-    norm = F.sqrt(dot("bits", "bits").cast("double")) * F.sqrt(dot("bits2", "bits2").cast("double"))
-    sim = both.select("o", "o2", F.when(norm > 0, dot("bits", "bits2") / norm).otherwise(F.lit(0.0)).alias("similarity"))
-    from pyspark.sql import Window
-
-    total = F.sum("similarity").over(Window.partitionBy("o"))
-    return sim.withColumn("share", F.when(total > 0, F.col("similarity") / total).otherwise(0.0))
-
-
-def lcs_ratio(one: Column, two: Column) -> Column:
-    """Length of the longest common subsequence over the longer length."""
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_lcs(x or "", y or "") for x, y in zip(a, b)])
-
-    return ratio(one, two)
-
-
-def _lcs(a: str, b: str) -> float:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1] / max(len(a), len(b), 1)

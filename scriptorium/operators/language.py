@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from scriptorium.functions import lexicons as L
 from scriptorium.functions.dialect import Dialect
+from scriptorium.operators.settings import Detection
 from scriptorium.operators.text import Step, composition, script
 
 
@@ -34,7 +35,7 @@ def romanized_scores(d: Dialect) -> Sequence[Step]:
     """Marker counts by language and shares of words."""
     return [
         {"low": "lower(text)"},
-        {"runs": d.word_runs("low"), "n_words": d.size(d.words("low"))},
+        {"runs": d.word_runs("low"), "n_words": d.n_words("low")},
         {f"m_{k}": _count(d, "runs", v) for k, v in L.MARKERS.items()},
         {f"s_{k}": f"CASE WHEN n_words > 0 THEN ({d.double(f'm_{k}')}{' + m_generic * 0.5e0' if k != 'tam' else ''}) / n_words ELSE 0e0 END" for k in ("mar", "hin", "tam")},
     ]
@@ -67,6 +68,57 @@ def romanized(d: Dialect) -> Sequence[Step]:
     ]
 
 
+# Words that hint at a language, in the order in which languages are tried.
+HINTS = {
+    "hin": "hai hain hoon bahut kya main mein yaar bhai".split(), "mar": "aahe ahe khup mi tu kay kashala la var".split(), "ben": "ache ami tumi khub bhalo keno kothay".split(),
+    "tam": "irukku naan nee romba enna epdi inniki".split(), "tel": "undi nenu nuvvu chala enti ela indu".split(), "pan": "hai main tu bahut ki kive hun".split(),
+}
+
+
+def boosted(d: Dialect) -> Sequence[Step]:
+    """A model's ``lid_lang, lid_conf`` against hints of romanized languages in texts that are mostly Latin. Hints count anywhere in the text."""
+    share = {k: "(" + " + ".join(f"cast(contains(hint_low, {d.text(w)}) AS int)" for w in words) + f") / {len(words)}e0 * 0.85e0" for k, words in HINTS.items()}
+    first = " ".join(f"WHEN h_{k} = hint_conf THEN '{k}'" for k in HINTS)
+    strong = "latin_letters > 70 AND hint_conf > 0.30e0 AND lid_conf < 0.60e0"
+    return [
+        {"hint_low": "lower(text)", "hint_letters": d.count_in("text", "\\p{L}"), "hint_latin": d.count_in("text", L.LATIN)},
+        {"latin_letters": f"CASE WHEN hint_letters > 0 THEN {d.double('hint_latin')} / hint_letters * 100e0 ELSE 0e0 END"},
+        {f"h_{k}": f"CASE WHEN latin_letters > 70 THEN {v} ELSE 0e0 END" for k, v in share.items()},
+        {"hint_conf": f"greatest({', '.join(f'h_{k}' for k in HINTS)})"},
+        {"hint_lang": f"CASE WHEN hint_conf > 0 THEN CASE {first} END END"},
+        {
+            "boosted_language": f"CASE WHEN {strong} THEN hint_lang ELSE lid_lang END",
+            "boosted_confidence": f"CASE WHEN {strong} THEN hint_conf ELSE lid_conf END",
+            "boosted_method": f"CASE WHEN {strong} THEN 'romanized_ensemble' ELSE 'glotlid' END",
+        },
+    ]
+
+
+def enhanced(d: Dialect) -> Sequence[Step]:
+    """The romanized language with the share of a text that reads as ITRANS, ``itrans_share``; needs ``romanized``."""
+    fused = "least(0.95e0, itrans_share * 0.6e0 + rom_conf * 0.4e0)"
+    return [
+        {
+            "enh_lang": "CASE WHEN itrans_share >= 0.30e0 THEN coalesce(rom_lang, 'hin') ELSE rom_lang END",
+            "enh_conf": f"CASE WHEN itrans_share >= 0.30e0 THEN CASE WHEN rom_lang IS NOT NULL THEN {fused} ELSE least(0.85e0, itrans_share + 0.2e0) END ELSE rom_conf END",
+        }
+    ]
+
+
+def shown_name(d: Dialect, column: str = "language", out: str = "shown_name") -> Sequence[Step]:
+    """Display names with what a suffix says: two languages of a mix, or a romanized form."""
+    names = L.INDIAN_NAMES | L.OTHER_NAMES | {"unknown": "Unknown"}
+    base, second = d.one(column, "^([^_]*)", 1), d.one(column, "^[^_]*_([^_]*)_mixed$", 1)
+    name = lambda c: d.lookup(c, names, f"upper({c})")
+    return [
+        {"name_base": base, "name_second": second},
+        {
+            out: f"CASE WHEN name_second <> '' THEN concat({name('name_base')}, '-', {name('name_second')}, ' (Code-mixed)') WHEN {d.matches(column, '_mixed$')} THEN concat({name('name_base')}, ' (Code-mixed)') "
+            f"WHEN {d.matches(column, '_(romanized|transliterated)$')} THEN concat({name('name_base')}, ' (Romanized)') ELSE {name('name_base')} END"
+        },
+    ]
+
+
 def english_ratio(d: Dialect) -> Sequence[Step]:
     words = sorted({w for g in L.groups(L.ENGLISH_WORDS) for w in g})
     return [
@@ -84,12 +136,16 @@ def code_mixing(d: Dialect) -> Sequence[Step]:
     n = f"length({d.trim('text')})"
     # a word is judged by the run of word characters that it begins with
     head = d.one("w_", r"^[\p{L}\p{N}_]+")
-    deva = d.matches("w_", f"[{L.DEVANAGARI}]")
+    native = f"deva > 0 AND {d.matches('w_', f'[{L.DEVANAGARI}]')}"
+    kind = lambda k: d.size(d.filter("token_kinds", "k_", f"k_ = {k}"))
     return [
-        {"eng_markers": _count(d, "runs", L.ENGLISH_MARKERS), "all_markers": "m_mar + m_hin + m_tam + m_generic", "tokens": d.words("low"), "deva": d.count_in("text", L.DEVANAGARI), "strip_n": n},
+        {"eng_markers": _count(d, "runs", L.ENGLISH_MARKERS), "all_markers": "m_mar + m_hin + m_tam + m_generic", "tokens": d.words("low"), "deva": d.count_in("indic_only", L.DEVANAGARI), "strip_n": n},
+        # what a token is judged by, then its class: 1 Indic, 2 English; each token is looked at once
+        {"token_heads": d.map("tokens", "w_", f"CASE WHEN length(w_) < 2 THEN '' WHEN {native} THEN 'अ' ELSE {head} END")},
+        {"token_kinds": d.map("token_heads", "h_", f"CASE WHEN h_ = 'अ' OR {d.among('h_', indic)} THEN 1 WHEN {d.among('h_', english)} THEN 2 ELSE 0 END")},
         {
-            "t_indic": d.size(d.filter("tokens", "w_", f"length(w_) >= 2 AND ({deva} OR {d.among(head, indic)})")),
-            "t_english": d.size(d.filter("tokens", "w_", f"length(w_) >= 2 AND NOT ({deva} OR {d.among(head, indic)}) AND {d.among(head, english)}")),
+            "t_indic": kind(1),
+            "t_english": kind(2),
             "mix_threshold": "CASE WHEN strip_n <= 15 THEN 0.12e0 WHEN strip_n <= 30 THEN 0.10e0 ELSE 0.08e0 END",
             "mix_lang": "CASE WHEN m_tam > 0 THEN 'tam' WHEN m_hin > 0 THEN 'hin' WHEN m_mar > 0 THEN 'mar' ELSE 'hin' END",
             "deva_percentage": f"CASE WHEN n_all > 0 THEN {d.double('deva')} / n_all * 100e0 ELSE 0e0 END",
@@ -151,6 +207,67 @@ def detect(d: Dialect, ngram: bool = True) -> Sequence[Step]:
     ]
 
 
+def detect_with_model(d: Dialect, settings: Detection = Detection()) -> Sequence[Step]:
+    """The whole ladder with a model's ``lid_lang, lid_conf, lid_mixed``. Needs ``signals``, ``english_ratio`` and ``ensemble`` on the romanized result ``rom_lang, rom_conf``.
+
+    Without a model (``lid_lang`` null) it is the ladder of rules. ``seen_lang`` is what the early steps know of romanized languages.
+    """
+    s = settings
+    latin, indic = "latin_percentage", "indic_percentage"
+    fused = "lid_lang IS NOT NULL"
+    early = "seen_conf > {} AND strip_n > {}".format(s.romanized_early, s.early_length)
+    mix = lambda same: f"CASE WHEN mix_primary = 'eng' THEN {same} ELSE concat(mix_primary, '_eng_mixed') END"
+    known = "use_lang IS NOT NULL"
+    real = "use_lang IS NOT NULL AND use_lang <> 'unknown'"
+    script_conf = lambda top, more: f"least({top}, {indic} / 100e0 + {more})"
+    ladder = [
+        ("strip_n = 0", "'unknown'", "'empty_text'", "0e0"),
+        (f"{fused} AND final_confidence > {s.ensemble_early} AND NOT is_code_mixed AND strip_n > {s.early_length}", "final_language", "concat('ensemble_', ensemble_method)", "final_confidence"),
+        (f"lid_lang IS NULL AND seen_lang IS NOT NULL AND {early} AND (strip_n > 10 OR seen_conf >= {s.romanized_early_short})", "seen_lang", "'romanized_indic_early_detection'", "seen_conf"),
+        (f"is_obscure AND {latin} > 50 AND rom_lang IS NOT NULL", "rom_lang", "'obscure_filtered_romanized_detected'", "rom_conf"),
+        (f"strip_n <= 5 AND {known} AND use_conf > 0.3", "use_lang", "'glotlid_very_short_text'", "least(0.70e0, use_conf)"),
+        (f"strip_n <= 5 AND script_lang IS NOT NULL AND {indic} > 50", "script_lang", "'script_very_short_text'", script_conf("0.75e0", "0.1e0")),
+        ("strip_n <= 5", "'unknown'", "'very_short_text_insufficient_data'", "0.3e0"),
+        (f"strip_n <= 10 AND {known} AND use_conf > 0.4", "use_lang", "'glotlid_short_text'", "least(0.80e0, use_conf)"),
+        (f"strip_n <= 10 AND script_lang IS NOT NULL AND {indic} > 25", "script_lang", "'script_analysis_short_text'", script_conf("0.85e0", "0.1e0")),
+        (f"strip_n <= 10 AND seen_lang IS NOT NULL AND seen_conf > {s.romanized_early_short}", "seen_lang", "'romanized_short_text'", "seen_conf * 0.9e0"),
+        (f"strip_n <= 10 AND {indic} > 0", "coalesce(script_lang, 'unknown')", "'script_fallback_short_text'", "0.4e0"),
+        (f"strip_n <= 10 AND {latin} > 50", "'eng'", "'latin_fallback_short_text'", "0.4e0"),
+        ("strip_n <= 10", "'unknown'", "'short_text_ambiguous'", "0.3e0"),
+        (f"{fused} AND final_confidence >= {s.ensemble_least}", "final_language", "concat('ensemble_', ensemble_method)", "final_confidence"),
+        (f"{known} AND use_conf > {s.model_sure}", "use_lang", "'glotlid_high_confidence'", "use_conf"),
+        (f"lid_mixed AND {known} AND use_conf > {s.model_mixed}", "concat(use_lang, '_mixed')", "'glotlid_code_mixed'", "use_conf"),
+        (f"script_lang IS NOT NULL AND {indic} > {s.strong_script}", "script_lang", "'script_analysis'", script_conf("0.95e0", "0.1e0")),
+        (f"{known} AND use_conf > {s.model_high} AND {latin} > 70 AND is_code_mixed", mix("concat(use_lang, '_indic_mixed')"), "'code_mixed_high_confidence'", "0.82e0"),
+        (f"{known} AND use_conf > {s.model_high}", "use_lang", "'glotlid'", "use_conf"),
+        (f"script_lang IS NOT NULL AND {indic} BETWEEN {s.mixed_least} AND {s.mixed_most} AND has_both_scripts", "concat(script_lang, '_mixed')", "'code_mixed_analysis'", script_conf("0.85e0", "0.2e0")),
+        (f"{known} AND use_conf > {s.model_medium} AND is_code_mixed AND {latin} > 70", mix("concat(use_lang, '_mixed')"), "'code_mixed_romanized'", "0.80e0"),
+        (f"{known} AND use_conf > {s.model_medium} AND rom_lang IS NOT NULL AND {latin} > 70 AND rom_conf > use_conf", "rom_lang", "'romanized_indic'", "rom_conf"),
+        (f"{known} AND use_conf > {s.model_medium} AND rom_lang IS NOT NULL AND {latin} > 70", "use_lang", "'glotlid_medium_override_romanized'", "use_conf"),
+        (f"{known} AND use_conf > {s.model_medium}", "use_lang", "'glotlid_medium'", "use_conf"),
+        (f"{latin} > {s.latin_dominance} AND rom_lang IS NOT NULL AND rom_conf >= 0.5 AND {real} AND use_conf > rom_conf", "use_lang", "'glotlid_latin_override_romanized'", "use_conf"),
+        (f"{latin} > {s.latin_dominance} AND rom_lang IS NOT NULL AND rom_conf >= 0.5", "rom_lang", "'romanized_indic_latin'", "rom_conf"),
+        (f"{latin} > {s.latin_dominance} AND is_code_mixed", mix("'eng_indic_mixed'"), "'code_mixed_latin_dominant'", "0.75e0"),
+        (f"{latin} > {s.latin_dominance} AND rom_lang IS NOT NULL", "rom_lang", "'romanized_indic_latin_low_conf'", "rom_conf"),
+        (f"{latin} > {s.latin_dominance} AND {real}", "use_lang", "'glotlid_latin'", "use_conf"),
+        (f"{latin} > {s.latin_dominance}", "'eng'", "'latin_fallback'", "0.5e0"),
+        (real, "use_lang", "'glotlid_low'", "use_conf"),
+        (f"script_lang IS NOT NULL AND {indic} >= {s.minor_least} AND {indic} < {s.minor_most}", "concat(script_lang, '_transliterated')", "'transliterated'", "0.5e0"),
+    ]
+    early_cases = 4  # of these, all but the first leave the code as it is
+    pick = lambda k, rest: "CASE det_case " + " ".join(f"WHEN {i} THEN {r[k]}" for i, r in enumerate(ladder)) + f" ELSE {rest} END"
+    roman = f"{latin} > 60 AND {indic} < 10"
+    obscure = f"coalesce({d.among('lid_lang', L.OBSCURE)} AND lid_conf < 0.8, false)"
+    return [
+        {"seen_lang": f"CASE WHEN {roman} THEN rom_lang END", "seen_conf": f"CASE WHEN {roman} THEN rom_conf ELSE 0e0 END", "is_obscure": obscure},
+        {"use_lang": "CASE WHEN is_obscure THEN 'unknown' ELSE lid_lang END", "use_conf": "CASE WHEN is_obscure THEN 0.3e0 ELSE lid_conf END"},
+        {"det_case": "CASE " + " ".join(f"WHEN {r[0]} THEN {i}" for i, r in enumerate(ladder)) + " ELSE -1 END"},
+        {"detected": pick(1, "'unknown'"), "method": pick(2, "'no_detection'"), "confidence": pick(3, "0.3e0")},
+        *code(d, "detected", "language_code"),
+        {"language": f"CASE WHEN det_case BETWEEN 1 AND {early_cases - 1} THEN detected ELSE language_code END"},
+    ]
+
+
 def ensemble(d: Dialect) -> Sequence[Step]:
     """Fuse a model's ``lid_lang``, ``lid_conf`` with the romanized result. Needs ``romanized`` and ``english_ratio``."""
     indian = lambda c: d.among(c, L.ENSEMBLE_INDIAN)

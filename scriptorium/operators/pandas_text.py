@@ -5,9 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions import flow
+from scriptorium.operators import text as rules
+from scriptorium.operators.validation import validated
+
 
 def unicode_form(column: Column, form: str = "NFKC") -> Column:
     @F.pandas_udf("string")
@@ -37,3 +41,32 @@ def named_emoji(column: Column, keep: bool = True) -> Column:
         return texts.map(one, na_action="ignore")
 
     return named(column)
+
+
+@validated(level=lambda x: isinstance(x, str))
+def normalized(df: DataFrame, level: str = "moderate", out: str = "normalized", column: str = "text", **flags: bool) -> DataFrame:
+    """``df`` with ``column`` normalized at a level (``light``, ``moderate``, ``aggressive``; any other leaves it as it is) or by six flags.
+
+    Unicode forms need Python; only texts beyond ASCII go there (see ``unicode_form``), all else is native.
+    """
+    if not flags and level not in rules.LEVELS:
+        return df.withColumn(out, F.col(column))
+    on = rules.LEVELS.get(level, rules.LEVELS["aggressive"]) | flags
+    held = df.select(F.struct("*").alias("row"), F.col(column).cast("string").alias("text"))
+    if on["unicode"]:
+        held = held.withColumn("text", unicode_form(F.col("text")))
+    if on["repeats"]:
+        held = held.withColumn("text", fewer_repeats(F.col("text")))
+    steps = lambda d: rules.normalized(d, on["slang"], on["contract"], on["numbers"], on["blanks"])
+    done = flow.apply(held, steps, ["row", "normalized"])
+    return done.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c != out), F.col("normalized").alias(out))
+
+
+def preprocessed(df: DataFrame, level: str | None = None, keep_emoji: bool = True, punctuation: str = "preserve", out: str = "clean", column: str = "text") -> DataFrame:
+    """``df`` with ``column`` preprocessed: normalized at a level if one is given, emoji named or dropped, then cleaned."""
+    held = df.select(F.struct("*").alias("row"), F.col(column).cast("string").alias("text"))
+    if level in rules.LEVELS:
+        held = normalized(held, level, "text")
+    held = held.withColumn("text", named_emoji(F.col("text"), keep_emoji))
+    done = flow.apply(held, lambda d: rules.cleaned(d, punctuation), ["row", "clean"])
+    return done.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c != out), F.col("clean").alias(out))

@@ -15,7 +15,8 @@ def composition(d: Dialect) -> Sequence[Step]:
     n = "n_all"
     percent = lambda k: f"CASE WHEN {n} > 0 THEN {d.double(k)} / {n} * 100e0 ELSE 0e0 END"
     return [
-        {n: "length(text)", "n_indic": d.count_in("text", L.INDIC), "n_latin": d.count_in("text", L.LATIN), "n_digit": d.count_in("text", "0-9"), "n_punct": d.count_in("text", ".,!?;:")},
+        {n: "length(text)", "indic_only": d.replace_all("text", f"[^{L.INDIC}]", ""), "n_latin": d.count_in("text", L.LATIN), "n_digit": d.count_in("text", "0-9"), "n_punct": d.count_in("text", ".,!?;:")},
+        {"n_indic": "length(indic_only)"},
         {
             "indic_percentage": percent("n_indic"),
             "latin_percentage": percent("n_latin"),
@@ -29,14 +30,14 @@ def composition(d: Dialect) -> Sequence[Step]:
 
 
 def script(d: Dialect) -> Sequence[Step]:
-    """The language of the Indic script with the most characters; the first in the table's order wins a tie."""
-    counts = {f"c_{k}": d.count_in("text", v) for k, v in L.SCRIPTS.items()}
+    """The language of the Indic script with the most characters; the first in the table's order wins a tie. Needs ``composition``."""
+    counts = {f"c_{k}": d.count_in("indic_only", v) for k, v in L.SCRIPTS.items()}
     cases = " ".join(f"WHEN c_{k} = c_most THEN '{k}'" for k in L.SCRIPTS)
     return [counts, {"c_most": f"greatest({', '.join(counts)})"}, {"script_lang": f"CASE WHEN c_most = 0 THEN NULL {cases} END"}]
 
 
 def statistics(d: Dialect) -> Sequence[Step]:
-    return [{"text_length": d.long("length(text)"), "word_count": d.long(d.size(d.words("text")))}]
+    return [{"text_length": d.long("length(text)"), "word_count": d.long(d.n_words("text"))}]
 
 
 def validity(d: Dialect, least: int = 1, most: int = 10_000) -> Sequence[Step]:
@@ -50,9 +51,9 @@ def validity(d: Dialect, least: int = 1, most: int = 10_000) -> Sequence[Step]:
     ]
 
 
-def cleaned(d: Dialect, punctuation: str = "preserve", fix_bengali: bool = True) -> Sequence[Step]:
+def cleaned(d: Dialect, punctuation: str = "preserve", fix_bengali: bool = True, column: str = "text") -> Sequence[Step]:
     """Social-media cleaning: lower case, mentions dropped, hashtags unmarked, URLs and entities dropped, blanks squeezed."""
-    out = "lower(text)"
+    out = f"lower({column})"
     for pattern, by in ((f"@[{WORD}]+", ""), (f"#([{WORD}]+)", "$1"), (f"http[^{BLANK}]+|www\\.[^{BLANK}]+", ""), (f"&[{WORD}]+;", ""), (f"[{BLANK}]+", " ")):
         out = d.replace_all(out, pattern, by)
     steps = [{"clean_0": f"trim({out})"}]
@@ -82,28 +83,51 @@ def ordinals(d: Dialect, column: str = "text") -> str:
     return out
 
 
-def normalized(d: Dialect, slang: bool = True) -> Sequence[Step]:
-    """The native part of the aggressive level: contractions, slang, ordinals, white space. Unicode forms and repeats: ``pandas_text``."""
-    steps: list[Step] = [{"norm_0": contractions(d)}]
+#: What the levels of normalization do: contractions, slang, ordinals and blanks natively; Unicode forms and repeats besides.
+LEVELS = {
+    "light": {"unicode": True, "repeats": False, "contract": False, "slang": False, "numbers": False, "blanks": True},
+    "moderate": {"unicode": True, "repeats": True, "contract": True, "slang": False, "numbers": True, "blanks": True},
+    "aggressive": {"unicode": True, "repeats": True, "contract": True, "slang": True, "numbers": True, "blanks": True},
+}
+
+
+def normalized(d: Dialect, slang: bool = True, contract: bool = True, numbers: bool = True, blanks: bool = True, keep_case: bool = False, column: str = "text") -> Sequence[Step]:
+    """The native part of normalizing: contractions, slang, ordinals, white space. Unicode forms and repeats come before: ``pandas_text``.
+
+    With ``keep_case`` slang that begins with a capital letter is expanded to words of which the first does.
+    """
+    steps: list[Step] = [{"norm_0": contractions(d, column) if contract else column}]
     if slang:
         # words and what is between them, in turn; a run of word characters is looked up as a whole
         steps.append({"parts": d.find_all("norm_0", f"[{WORD}]+|[^{WORD}]+")})
-        keys = list(L.SLANG)
-        known = d.among("lower(p_)", keys)
-        steps.append({"norm_1": d.join(d.map("parts", "p_", f"CASE WHEN {known} THEN {d.lookup('lower(p_)', L.SLANG)} ELSE p_ END"), "")})
+        known, full = d.among("lower(p_)", list(L.SLANG)), d.lookup("lower(p_)", L.SLANG)
+        if keep_case:
+            full = f"CASE WHEN substr(p_, 1, 1) <> lower(substr(p_, 1, 1)) THEN concat(upper(substr({full}, 1, 1)), substr({full}, 2)) ELSE {full} END"
+        steps.append({"norm_1": d.join(d.map("parts", "p_", f"CASE WHEN {known} THEN {full} ELSE p_ END"), "")})
     else:
         steps.append({"norm_1": "norm_0"})
-    steps.append({"normalized": "trim(" + d.replace_all(ordinals(d, "norm_1"), f"[{BLANK}]+", " ") + ")"})
+    out = ordinals(d, "norm_1") if numbers else "norm_1"
+    steps.append({"normalized": "trim(" + d.replace_all(out, f"[{BLANK}]+", " ") + ")" if blanks else out})
     return steps
 
 
+def one_line(d: Dialect, column: str = "text") -> str:
+    """The form that language models take: no line breaks, blanks squeezed."""
+    return "trim(" + d.replace_all(d.replace_all(column, "[\\n\\r]+", " "), f"[{BLANK}]+", " ") + ")"
+
+
 def hashes(d: Dialect) -> Sequence[Step]:
-    return [
-        {
-            "text_hash": f"md5(lower({d.trim('text')}))",
-            "analysis_key": f"concat('analysis:', substr({d.sha256('text')}, 1, 16))",
-        }
-    ]
+    return [{"text_hash": f"md5(lower({d.trim('text')}))", "analysis_key": key(d, "analysis:", "text")}]
+
+
+def key(d: Dialect, prefix: str, *parts: str) -> str:
+    """A cache key: a prefix and a hash of a text, or of a JSON object of several columns in the order of their names."""
+    if len(parts) == 1:
+        return f"concat('{prefix}', substr({d.sha256(parts[0])}, 1, 16))"
+    quoted = lambda c: f"coalesce(concat('\"', replace(replace({c}, '\\\\', '\\\\\\\\'), '\"', '\\\\\"'), '\"'), 'null')" if d.name == "spark" else f"coalesce(concat('\"', replace(replace({c}, '\\', '\\\\'), '\"', '\\\"'), '\"'), 'null')"
+    pairs = [f"concat('\"{p}\": ', {quoted(p)})" for p in sorted(parts)]
+    body = "concat('{', " + ", ', ', ".join(pairs) + ", '}')"
+    return f"concat('{prefix}', substr({d.sha256(body)}, 1, 16))"
 
 
 def signature(d: Dialect) -> Sequence[Step]:

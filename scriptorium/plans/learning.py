@@ -27,6 +27,7 @@ def observed(d: Dialect) -> list[dict[str, str]]:
     return [*language.signals(d), *language.detect(d, ngram=False), *text.signature(d), {"reasons": d.filter(d.array(reasons), "r_", "r_ <> ''")}, {"is_failure": f"{d.size('reasons')} > 0"}]
 
 
+_OBSCURE = "(" + ", ".join(f"'{x}'" for x in (*L.OBSCURE[:8], "eo")) + ")"
 _DOCS = ["doc_id", "text", "lang"]
 _TRUTH = "CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' ELSE lang END"
 
@@ -46,13 +47,14 @@ LOG_QUERIES: dict[str, tuple] = {
     "failure_reasons": (
         "documents", _DOCS, observed,
         "SELECT method, count(*) AS detections, cast(count_if(is_failure) AS bigint) AS failures, cast(count_if(confidence < 0.5e0) AS bigint) AS low_confidence, cast(count_if(language = 'unknown') AS bigint) AS unknown_language, "
+        f"cast(count_if(language IN {_OBSCURE}) AS bigint) AS obscure_language, "
         "cast(count_if(confidence > 0.6e0 AND contains(method, 'fallback')) AS bigint) AS suspicious_confidence FROM {src} GROUP BY method",
     ),
     "failure_topk": (
         "documents", _DOCS, observed,
         # the filter stands above the limit, so that it isn't pushed into the ladder and expanded there
         "SELECT doc_id, language, method, confidence, signature FROM (SELECT doc_id, language, method, confidence, signature, is_failure FROM {src} "
-        "ORDER BY CASE WHEN is_failure THEN 0 ELSE 1 END, confidence, doc_id LIMIT 50) t WHERE is_failure",
+        "ORDER BY CASE WHEN is_failure THEN 0 ELSE 1 END, doc_id DESC LIMIT 50) t WHERE is_failure",
     ),
     "language_distribution": (
         "documents", _DOCS, observed,
@@ -85,6 +87,23 @@ LOG_QUERIES: dict[str, tuple] = {
         "SELECT signature, use_count, avg_confidence FROM (SELECT signature, count(*) AS use_count, round(avg(confidence), 9) AS avg_confidence FROM {src} GROUP BY signature) x "
         "ORDER BY use_count DESC, avg_confidence DESC, signature LIMIT 10000",
     ),
+    "request_cache_top": (
+        "documents", _DOCS, _with_hash,
+        "SELECT text_hash, count(*) AS request_count FROM {src} GROUP BY text_hash ORDER BY request_count DESC, text_hash LIMIT 5",
+    ),
+    "cache_hit_rate": (
+        "documents", _DOCS, observed,
+        "SELECT cast(sum(n - 1) AS bigint) AS hits, count(*) AS misses, round(coalesce(cast(sum(n - 1) AS double) / nullif(sum(n), 0), 0e0), 9) AS hit_rate FROM (SELECT signature, count(*) AS n FROM {src} GROUP BY signature) x",
+    ),
+    "cache_keys_by_prefix": (
+        "documents", _DOCS, lambda d: [*text.hashes(d), {"lang_key": text.key(d, "lang:", "text")}],
+        "SELECT prefix, count(*) AS live_keys FROM (SELECT DISTINCT split_part(analysis_key, ':', 1) AS prefix, analysis_key AS k FROM {src} UNION SELECT DISTINCT split_part(lang_key, ':', 1), lang_key FROM {src}) x GROUP BY prefix",
+    ),
+    "ttl_by_kind": (
+        "events", _EVENTS, _requests,
+        "SELECT event_type, ttl, count(*) AS live FROM (SELECT user_id, event_type, ttl, max(seen_at) AS last_set FROM {src} CROSS JOIN (SELECT 3600 AS ttl UNION ALL SELECT 7200 UNION ALL SELECT 86400) t GROUP BY user_id, event_type, ttl) x "
+        "WHERE last_set > (SELECT max(seen_at) FROM {src} y) - ttl * INTERVAL '1' SECOND GROUP BY event_type, ttl",
+    ),
     "rate_limit_minute": (
         "events", _EVENTS, _requests,
         "SELECT user_id, at_minute, count(*) AS requests, count(*) > 30 AS over_limit FROM {src} GROUP BY user_id, at_minute",
@@ -101,26 +120,115 @@ LOG_QUERIES: dict[str, tuple] = {
 }
 
 
-def cache_replay(seen: DataFrame, uses: int = 3, least: float = 0.7) -> DataFrame:
+#: Dimensions of a failure that are counted, and the column that each is read from.
+DIMENSIONS = {"detected": "language", "expected": "expected", "script": "dominant_script", "method": "method"}
+
+
+def recent_failures(seen: DataFrame, last: int = 50) -> DataFrame:
+    """The newest failures by order of arrival: a top-n. ``seen`` has ``doc_id, language, method, confidence, dominant_script, reasons, lang``."""
+    expected = F.expr(f"CASE WHEN language <> {_TRUTH} THEN {_TRUTH} END")
+    # the filter on a ladder's result stands above the limit, so that it isn't pushed into the ladder
+    newest = seen.withColumn("expected", expected).orderBy(F.expr("CASE WHEN is_failure THEN 0 ELSE 1 END"), F.desc("doc_id")).limit(last)
+    return newest.where("is_failure").select("doc_id", "language", "expected", "dominant_script", "method", "confidence", "reasons")
+
+
+def failure_patterns(seen: DataFrame, last: int = 50, top: int = 5) -> DataFrame:
+    """``dimension, value, n, place``: the five most frequent values of reasons (each counted by itself), languages, scripts and methods."""
+    recent = recent_failures(seen, last)
+    pairs = [F.struct(F.lit(k).alias("dimension"), F.col(c).alias("value")) for k, c in DIMENSIONS.items()]
+    reasons = F.transform("reasons", lambda r: F.struct(F.lit("reason").alias("dimension"), r.alias("value")))
+    counted = recent.select(F.explode(F.concat(F.array(*pairs), reasons)).alias("p")).select("p.*").where("value IS NOT NULL").groupBy("dimension", "value").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "value"))
+    return counted.withColumn("place", place).where(F.col("place") <= top)
+
+
+def recommendations(seen: DataFrame, last: int = 50) -> DataFrame:
+    """``issue, solution, priority`` for what the newest failures show."""
+    figures = recent_failures(seen, last).agg(
+        F.count("*").alias("failures"), F.count_if(F.array_contains("reasons", "obscure_language") & (F.col("language") == "ido")).alias("ido"),
+        F.count_if(F.array_contains("reasons", "low_confidence")).alias("low"), F.count_if(F.col("dominant_script") == "latin").alias("latin"),
+    )
+    advice = [
+        (F.col("ido") > 3, "Frequent 'ido' detection for romanized Indic languages", "Add romanized Indic language detection before the model", "HIGH"),
+        (F.col("low") > 0, "Many low-confidence detections", "Consider fallback to script-based detection or user prompt", "MEDIUM"),
+        (F.col("latin") > F.col("failures") * 0.5, "Over 50% failures are Latin script (likely romanized Indic)", "Implement romanized Indic language detector", "HIGH"),
+    ]
+    rows = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(a).alias("issue"), F.lit(b).alias("solution"), F.lit(c).alias("priority"))) for test, a, b, c in advice)))
+    return figures.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def _recent_sql(last: int = 50) -> str:
+    seen = flow.sql("documents", observed, ["doc_id", "language", "method", "confidence", "dominant_script", "reasons", "lang"])
+    return f"(SELECT *, CASE WHEN language <> {_TRUTH} THEN {_TRUTH} END AS expected FROM ({seen}) WHERE len(reasons) > 0 ORDER BY doc_id DESC LIMIT {last})"
+
+
+def failure_patterns_sql(last: int = 50, top: int = 5) -> str:
+    parts = [f"SELECT '{k}' AS dimension, {c} AS value FROM r" for k, c in DIMENSIONS.items()] + ["SELECT 'reason', unnest(reasons) FROM r"]
+    return f"""WITH r AS {_recent_sql(last)}, p AS ({" UNION ALL ".join(parts)}), c AS (SELECT dimension, value, count(*) AS n FROM p WHERE value IS NOT NULL GROUP BY 1, 2)
+    SELECT * FROM (SELECT *, cast(row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS integer) AS place FROM c) WHERE place <= {top}"""
+
+
+def recommendations_sql(last: int = 50) -> str:
+    return f"""WITH r AS {_recent_sql(last)}
+    SELECT 'Frequent ''ido'' detection for romanized Indic languages' AS issue, 'Add romanized Indic language detection before the model' AS solution, 'HIGH' AS priority FROM r WHERE language = 'ido' HAVING count(*) > 3
+    UNION ALL SELECT 'Many low-confidence detections', 'Consider fallback to script-based detection or user prompt', 'MEDIUM' FROM r HAVING count(*) FILTER (WHERE confidence < 0.5) > 0
+    UNION ALL SELECT 'Over 50% failures are Latin script (likely romanized Indic)', 'Implement romanized Indic language detector', 'HIGH' FROM r HAVING count(*) FILTER (WHERE dominant_script = 'latin') * 2 > count(*)"""
+
+
+def cache_replay(seen: DataFrame, uses: int = 3, least: float = 0.7, width: int = 100_000) -> DataFrame:
     """The pattern cache replayed in the order of ids: a text is a hit if its signature was stored often and well enough.
 
-    A hit neither stores nor changes the average, so once a signature hits it keeps hitting: the first ``uses``
-    sightings decide. They are found by a rank within the signature; the cache starts empty.
+    A hit neither stores nor changes the average, so once a signature hits it keeps hitting, and until then every sighting is
+    stored: the mean of all before is the cache's mean. Sums run within runs of ``width`` ids, on top of the sums of the runs
+    before, so that no task has all sightings of a signature that a third of all texts share. The cache starts empty.
     """
-    order = Window.partitionBy("signature").orderBy("doc_id")
-    first = order.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = seen.withColumn("before", F.row_number().over(order) - 1).withColumn("mean_before", F.avg("confidence").over(first))
-    # until the first hit every sighting is stored, so the mean of all before is the cache's mean
-    hit = (F.col("before") >= uses) & (F.col("mean_before") >= least)
-    done = F.max(hit.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1
-    return ranked.select("doc_id", "signature", F.coalesce(done, F.lit(False)).alias("cache_hit"))
+    cut = seen.withColumn("run", F.floor(F.col("doc_id") / width))
+    runs = cut.groupBy("signature", "run").agg(F.count("*").alias("n"), F.sum("confidence").alias("total"))
+    earlier = Window.partitionBy("signature").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    base = runs.select("signature", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("total").over(earlier), F.lit(0.0)).alias("total0"))
+    within = Window.partitionBy("signature", "run").orderBy("doc_id")
+    mine = F.coalesce(F.sum("confidence").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = cut.withColumn("mine", mine).withColumn("nth", F.row_number().over(within) - 1).join(base, ["signature", "run"])
+    before = F.col("n0") + F.col("nth")
+    good = (before >= uses) & (F.round((F.col("total0") + F.col("mine")) / before, 9) >= least)
+    first = ranked.where(good).groupBy("signature").agg(F.min("doc_id").alias("first_hit"))
+    return seen.join(first, "signature", "left").select("doc_id", "signature", F.coalesce(F.col("doc_id") >= F.col("first_hit"), F.lit(False)).alias("cache_hit"))
 
 
 def cache_replay_sql(uses: int = 3, least: float = 0.7) -> str:
     seen = flow.sql("documents", observed, ["doc_id", "signature", "confidence"])
     return f"""
-    SELECT doc_id, signature, max(CASE WHEN before >= {uses} AND mean_before >= {least}e0 THEN 1 ELSE 0 END)
+    SELECT doc_id, signature, max(CASE WHEN before >= {uses} AND round(mean_before, 9) >= {least}e0 THEN 1 ELSE 0 END)
         OVER (PARTITION BY signature ORDER BY doc_id ROWS UNBOUNDED PRECEDING) = 1 AS cache_hit
     FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY doc_id) - 1 AS before,
         avg(confidence) OVER (PARTITION BY signature ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mean_before FROM ({seen}))
     """
+
+
+def occurrences(requests: DataFrame, key: str = "text_hash", order: str = "doc_id") -> DataFrame:
+    """Each request with how often its key was asked for before, and whether it is the newest of its key."""
+    by = Window.partitionBy(key)
+    return requests.withColumn("occurrence", F.row_number().over(by.orderBy(order))).withColumn("is_latest", F.col(order) == F.max(order).over(by))
+
+
+def evicted(cache: DataFrame, trigger: int = 12_000, keep: int = 10_000) -> DataFrame:
+    """A pattern cache (``signature, use_count, avg_confidence``) after eviction, which begins beyond ``trigger`` entries."""
+    if len(cache.select("signature").limit(trigger + 1).collect()) <= trigger:  # at most trigger + 1 signatures
+        return cache
+    return cache.orderBy(F.desc("use_count"), F.desc("avg_confidence"), "signature").limit(keep)
+
+
+def invalidated(cache: DataFrame, corrections: DataFrame) -> DataFrame:
+    """A pattern cache without the signatures that users corrected."""
+    return cache.join(corrections.select("signature").distinct(), "signature", "left_anti")
+
+
+def suggestions(detections: DataFrame, corrections: DataFrame) -> DataFrame:
+    """``detections``, a table or a stream, with the corrections that users made to their signatures before."""
+    known = corrections.groupBy("signature").agg(F.array_sort(F.collect_set("correct_language")).alias("suggestions"))
+    return detections.join(known, "signature", "left")
+
+
+def with_cache(requests: DataFrame, responses: DataFrame, key: str = "text_hash") -> tuple[DataFrame, DataFrame]:
+    """Requests that a cache answers, with its response, and those that it doesn't."""
+    return requests.join(responses, key), requests.join(responses.select(key), key, "left_anti")

@@ -7,8 +7,19 @@ from pyspark.sql import functions as F
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files, numbered within their file by their place."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
+    """Lines of text files with an id from the file's name and the line's place in the file's partition.
+
+    Ids don't depend on which task reads what, so that a task that runs again gives the ids that it gave before.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("seen"))
+    numbered = lines.withColumn("seen", F.monotonically_increasing_id()).withColumn("place", place)
+    return numbered.select(F.xxhash64("file", "block", "place").alias("doc_id"), "text")
+
+
+def resources(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """A table of a resource from CSV files with a header (spellings, phonetic properties, sounds)."""
+    return spark.read.option("header", True).schema(columns).csv(path)
 
 
 def write_texts(df: DataFrame, path: str, column: str = "text") -> None:
@@ -28,14 +39,14 @@ def dictionaries(spark: SparkSession, path: str) -> DataFrame:
     return words.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n", "place")
 
 
-def lexicon(spark: SparkSession, path: str) -> dict[str, str]:
+def lexicon(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """A profanity lexicon, ``{language: {severity: [words]}}`` as JSON, in the form that ``safety.profanity`` takes. A small file."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,array<string>>>").alias("m")).first()["m"]
     out: dict[str, list[str]] = {"extreme": [], "moderate": [], "mild": []}
     for levels in raw.values():
         for level, words in levels.items():
             out[level].extend(words)
-    return {k: " ".join(v) for k, v in out.items()}
+    return out
 
 
 def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -63,3 +74,22 @@ def upsert(table: DataFrame | None, fresh: DataFrame, key: str, order: str) -> D
 def live(table: DataFrame, stored_at: str, ttl_seconds: int, now) -> DataFrame:
     """Rows of a cache that are not too old at ``now``."""
     return table.where(F.col(stored_at) > F.lit(now) - F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS"))
+
+
+def profiles(spark: SparkSession, path: str) -> DataFrame:
+    """An n-gram model that ``write_profiles`` kept: ``lang, place, ngram, freq``."""
+    return spark.read.parquet(path)
+
+
+def write_profiles(model: DataFrame, path: str) -> None:
+    model.write.mode("overwrite").parquet(path)
+
+
+def without(table: DataFrame, key: str, prefix: str | None = None) -> DataFrame:
+    """A keyed table after clearing: without the keys that begin with ``prefix``, or without any rows."""
+    return table.limit(0) if prefix is None else table.where(~F.startswith(F.col(key), F.lit(prefix)))
+
+
+def keys_by_prefix(table: DataFrame, key: str, separator: str = ":") -> DataFrame:
+    """How many keys each kind has, by what stands before the first separator."""
+    return table.groupBy(F.substring_index(key, separator, 1).alias("prefix")).agg(F.count("*").alias("keys"))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions import lexicons as L
+
 OUT = "signature string, doc_id long, cache_hit boolean, detected string, confidence double"
 STATE = "use_count long, total double, stored long, detected string"
 
@@ -34,6 +36,9 @@ def pattern_cache(detections: DataFrame, uses: int = 3, least: float = 0.7, idle
         rows = pd.concat(list(frames)).sort_values("doc_id")
         out = []
         for row in rows.itertuples(index=False):
+            if getattr(row, "corrected", False):
+                used, total, stored, detected = 0, 0.0, 0, None
+                continue
             hit = used >= uses and stored > 0 and total / stored >= least
             if not hit:
                 total, stored = total + row.confidence, stored + 1
@@ -59,7 +64,9 @@ def failures(detections: DataFrame) -> DataFrame:
     reasons = F.array_compact(
         F.array(
             F.when(F.col("confidence") < 0.5, "low_confidence"),
+            F.when(F.col("detected").isin(*L.OBSCURE[:8], "eo"), "obscure_language"),
             F.when(F.col("detected") == "unknown", "unknown_language"),
+            F.when(F.col("reported") & (F.col("expected") != F.col("detected")), "user_reported") if {"reported", "expected"} <= set(detections.columns) else F.lit(None).cast("string"),
             F.when((F.col("confidence") > 0.6) & F.contains("method", F.lit("fallback")), "suspicious_confidence"),
         )
     )
