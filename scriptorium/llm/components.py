@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from scriptorium.llm.storage import discard, materialise, scratch
 
 
+#: The edges shrink from step to step; a step has a task for so many of them, whatever the session's number of partitions.
+ROWS_A_TASK, LEAST_TASKS = 50_000, 8
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node that has an edge to another one with the smallest node it can reach.
 
@@ -26,13 +30,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now, mark = _kept(pairs)
         while mark[0]:
             with scratch() as step:
-                after = step.result(_small_star(_large_star(now)))
+                tasks = max(LEAST_TASKS, mark[0] // ROWS_A_TASK)
+                after = step.result(_small_star(_large_star(now, tasks), tasks).coalesce(tasks))
             discard(now)
             now, before, mark = after, mark, _mark(after)
             if mark == before:
                 break
         roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-        return tables.result(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots))
+        out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+        return tables.result(out.coalesce(2 * max(LEAST_TASKS, mark[0] // ROWS_A_TASK)))
 
 
 def _kept(pairs: DataFrame) -> tuple[DataFrame, tuple]:
@@ -45,16 +51,16 @@ def _mark(table: DataFrame) -> tuple:
     return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
+def _large_star(pairs: DataFrame, tasks: int) -> DataFrame:
     """Hang the larger neighbours of each node on the smallest node next to it."""
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")))
+    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")).coalesce(tasks))
     out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return materialise(out.distinct())
+    return materialise(out.distinct().coalesce(tasks))
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
+def _small_star(pairs: DataFrame, tasks: int) -> DataFrame:
     """Hang each node and its smaller neighbours on the smallest of them. ``a`` is larger than ``b`` in every row."""
-    least = materialise(pairs.groupBy("a").agg(F.min("b").alias("least")))
+    least = materialise(pairs.groupBy("a").agg(F.min("b").alias("least")).coalesce(tasks))
     rest = pairs.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return rest.union(least.select("a", F.col("least").alias("b"))).distinct()
