@@ -67,6 +67,9 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
     got = simhash.near_duplicates(spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, "zz"), (7, None)], DOCS)).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == [(-1, -1), (-1, 1), (1, 1), (1, 1), (7, 7)]
+    # without an id, but as a bridge between those that have one
+    near = simhash.SimHashParams(distance=64, segments=((1, 1),) * 64)
+    assert {r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame([(None, "p q"), (5, "a b c"), (4, "x y z")], DOCS), near).collect()} == {4}
 
 
 def test_segments_must_cover_and_find_all():
@@ -77,8 +80,6 @@ def test_segments_must_cover_and_find_all():
 
 
 def test_wide_fingerprints_find_near_copies(spark):
-    from corpus_pipeline import NEAR
-
     r = random.Random(3)
     rows = []
     for i in range(40):
@@ -86,7 +87,7 @@ def test_wide_fingerprints_find_near_copies(spark):
         rows.append((2 * i, " ".join(words)))
         words[50] = "other"
         rows.append((2 * i + 1, " ".join(words)))  # a similarity of 0.95 in five-word shingles
-    got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), NEAR).collect()
+    got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), simhash.planned(len(rows))).collect()
     assert all(row["component_id"] == row["doc_id"] // 2 * 2 for row in got)
 
 
@@ -127,8 +128,8 @@ def edited_texts(seed=7, n=150):
 def test_links_are_verified_against_all_pairs(spark, block_rows):
     rows = [*edited_texts(), *((2000 + i, f"{' '.join(f'h{j}' for j in range(100))} x{i} y{i % 7}") for i in range(40))]
     docs = spark.createDataFrame(rows, DOCS)
-    found = spark.createDataFrame([(i, 0) for i, _ in rows], "doc_id long, component_id long")  # all are candidates of each other
-    got = similar.verified(docs, found, similar.SimilarParams(block_rows=block_rows)).collect()
+    found = docs.selectExpr("0L AS key", "doc_id AS node", "text")  # all are candidates of each other
+    got = similar.verified(found, similar.SimilarParams(block_rows=block_rows)).collect()
     expected = by_similarity(rows)
     assert {r["node"]: r["component"] for r in got} == {i: c for i, c in expected.items() if i != c or list(expected.values()).count(c) > 1}
 
@@ -144,6 +145,46 @@ def test_dedup_stage_against_all_pairs(spark):
     assert len(ours - theirs) <= 1  # candidates of 0.8 are found with probability 0.994, nearer ones more surely
 
 
+def test_plans_keep_their_recall_at_any_size():
+    small, large = simhash.planned(1000), simhash.planned(10**10)
+    assert small.segments == ((16, 1),) * 16 and small.words == 4
+    assert large.segments[0][0] >= 27 and sum(w for w, _ in large.segments) <= 64 * large.words
+    # by drawing: pairs that differ in the share of bits that a similarity of 0.8 leaves meet in some segment
+    r = np.random.default_rng(3)
+    for plan in (small, simhash.planned(10**8)):
+        apart = r.random((4000, 64 * plan.words)) < simhash.APART
+        bit, met = 0, np.zeros(len(apart), bool)
+        for width, radius in plan.segments:
+            bit += 64 - bit % 64 if bit % 64 + width > 64 else 0
+            met |= apart[:, bit : bit + width].sum(axis=1) <= radius
+            bit += width
+        assert (met & (apart.sum(axis=1) <= plan.distance)).mean() > 0.985
+
+
+def test_wide_plans_find_what_narrow_ones_find(spark):
+    rows = edited_texts(9, 60)
+    expected = {i for i, c in by_similarity(rows).items() if i == c}
+    kept = similar.distinct_documents(spark.createDataFrame(rows, DOCS), near=simhash.planned(10**8)).collect()
+    assert expected <= {r["doc_id"] for r in kept} and len(kept) <= len(expected) + 1
+
+
+def test_dedup_of_odd_rows(spark):
+    import corpus_pipeline
+
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [
+        (1, a, "z"), (1, a, "y"), (2, a, "y"), (3, b, "y"), (3, "another text of its own", "y"), (3, "a third text under this id", "y"), (None, a, "y"), (None, "words without an id here", "y"),
+        (None, "words without an id here", "x"), (None, None, "y"), (None, "", "x"), (9, " ", "x"),
+    ]
+    schema = "doc_id long, text string, digest string, n long, node string, row string, key string"
+    docs = spark.createDataFrame([(*r, 5, "c", "c", "c") for r in rows], schema)
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] or -1, r["text"] or "", r["digest"]) for r in out.collect())
+    assert got == sorted([(1, a, "y"), (3, b, "y"), (3, "another text of its own", "y"), (3, "a third text under this id", "y"), (-1, "words without an id here", "x"), (9, " ", "x")])
+    assert corpus_pipeline.near_dedup(spark, docs.where("false"), "").collect() == []
+
+
 def test_components_of_chains_stars_and_loops(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(300, 300), (400, 401), (401, 400), (None, 5)]

@@ -1,11 +1,14 @@
 """Language, quality, personal data and licences."""
 
 import itertools
+import random
 import re
+import unicodedata
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import crf_langid, license_scan, pii, quality_gam, queries
 
@@ -21,7 +24,7 @@ def test_marginals_are_exact():
     move = r.random((3, 3)) + 0.1
     lengths = np.array([1, 3, 6, 5])
     e = r.random((15, 3)) + 0.05
-    got = crf_langid.marginals(e, lengths, move)
+    got = crf_langid.marginals(e, lengths, move)[0]
     at = 0
     for n in lengths:
         total = np.zeros((n, 3))
@@ -37,9 +40,9 @@ def test_long_chains_equal_sequential_ones(monkeypatch):
     r = np.random.default_rng(2)
     move, e = r.random((2, 2)) + 0.1, r.random((900, 2)) + 0.01
     lengths = np.array([500, 130, 64, 65, 141])
-    many = crf_langid.marginals(e, lengths, move)
+    many = crf_langid.marginals(e, lengths, move)[0]
     monkeypatch.setattr(crf_langid, "CHUNK", 600)
-    assert np.allclose(many, crf_langid.marginals(e, lengths, move))
+    assert np.allclose(many, crf_langid.marginals(e, lengths, move)[0])
 
 
 def small_model():
@@ -58,6 +61,32 @@ def test_labels_words_of_switched_text_and_odd_texts():
     assert crf_langid.label(["x"], crf_langid.WordScorer(crf_langid.fit([])))[0][:2] == ("und", 0.0)
 
 
+def test_stretches_of_long_texts_are_one_chain(monkeypatch):
+    scorer = crf_langid.WordScorer(small_model())
+    r = np.random.default_rng(5)
+    vocabulary = "der die und nicht schule wasser the and of water school never 12 x ##".split()
+    texts = [" ".join(str(w) for w in r.choice(vocabulary, n)) for n in (3, 700, 5000)] + ["\u2003".join(["und", "the"] * 300), "a" * 3000 + " the water", "\n \t" * 900]
+    whole = crf_langid.label(texts, scorer, segments=True)
+    monkeypatch.setattr(crf_langid, "STRETCH", 500)
+    for one, other in zip(whole, crf_langid.label(texts, scorer, segments=True)):
+        assert one[0] == other[0] and one[1] == pytest.approx(other[1], abs=1e-9) and one[2] == other[2]
+
+
+def test_language_of_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, lang_pred string, score string, segments int"
+    rows = [(i, "der die und nicht schule" if i % 2 else "the and of water school", "de" if i % 2 else "en", "c", "c", 1) for i in range(40)]
+    odd = [(None, "the water", "en", "c", "c", 1), (100, None, "de", "c", "c", 1), (101, "", None, "c", "c", 1), (102, "1 2 ...", "en", "c", "c", 1), (103, "the " * 200_000, None, "c", "c", 1), (3, "der die", "de", "c", "c", 1)]
+    docs = spark.createDataFrame(rows + odd, schema)
+    model = crf_langid.learn(docs)
+    out = crf_langid.identify(docs, model).collect()
+    assert len(out) == len(rows) + len(odd) and all(0 <= r["score"] <= 1 for r in out)
+    got = {r["doc_id"]: r["lang_pred"] for r in out}
+    assert (got[None], got[100], got[101], got[102], got[103]) == ("en", "und", "und", "und", "en")
+    assert crf_langid.identify(docs.where("false"), model).collect() == []
+    assert crf_langid.learn(docs.where("false")).langs == [] and crf_langid.learn(docs.where("doc_id IS NULL")).langs == []
+    assert {r["lang_pred"] for r in crf_langid.identify(docs, crf_langid.learn(docs.where("false"))).collect()} == {"und"}
+
+
 def test_language_query_on_held_out_rows(spark):
     rows = queries.op2_language_id(spark, MIDDLE).join(spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
@@ -86,6 +115,41 @@ def test_quality_without_labels_and_odd_rows(spark):
     assert quality_gam.score(docs.where("false"), none).collect() == []
 
 
+def test_scores_of_any_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 0.2, 3), (None, None, 0.3, 4)], "doc_id long, text string, Quality_Score double, score int")
+    model = quality_gam.Gam(base=1.0)
+    out = quality_gam.score(docs, model)
+    assert out.columns == ["doc_id", "text", "score", "quality_score"] and all(r["quality_score"] == pytest.approx(1 / (1 + np.exp(-1))) for r in out.collect())
+    assert quality_gam.accepted(docs, model).columns == docs.columns and quality_gam.accepted(docs, model).count() == 2
+    assert quality_gam.accepted(docs, model, 0.9).count() == 0 and quality_gam.accepted(docs.where("false"), model).collect() == []
+
+
+def test_scores_are_sums_of_table_entries():
+    r = np.random.default_rng(3)
+    x = r.random((400, 4))
+    model = quality_gam.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.7).astype(float), quality_gam.GamParams(rounds=10, pair_rounds=5))
+    for row, got in zip(x, model.score(x)):
+        place = lambda edges, v: sum(1 for e in edges if e <= v)
+        total = model.base + sum(model.tables[i][place(model.edges[i], row[i])] for i in range(4))
+        for (i, j), table in zip(model.pairs, model.pair_tables):
+            total += table[place(model.pair_edges[i], row[i]), place(model.pair_edges[j], row[j])]
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_shallow_trees_make_the_best_cut():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        g, h, n = r.standard_normal(9), r.random(9) + 0.1, r.integers(0, 9, 9)
+        tree = quality_gam._shallow_tree(g, h, 2, n, 8)
+        gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+        cuts = [(gain(0, c) + gain(c, 9) - gain(0, 9), c) for c in range(1, 9) if n[:c].sum() >= 8 and n[c:].sum() >= 8]
+        if not cuts or max(cuts)[0] <= 1e-9:
+            assert not tree.any()
+            continue
+        c = max(cuts)[1]
+        assert np.allclose(tree[:c], g[:c].sum() / (h[:c].sum() + 1)) and np.allclose(tree[c:], g[c:].sum() / (h[c:].sum() + 1))
+
+
 def test_pairs_learn_what_single_features_cannot():
     r = np.random.default_rng(0)
     x = r.random((2000, 3))
@@ -148,6 +212,42 @@ def test_added_spans_and_redaction(spark):
     assert pii.find(docs.where("false")).collect() == []
 
 
+def test_redaction_equals_a_plain_one(spark):
+    texts = [t for t in ODD if t] + [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: sorted([*r["base"], *r["added"]]) for r in pii.find(docs).collect()}
+    for r in pii.redact(docs).collect():
+        out, at, text = "", 0, texts[r["doc_id"]]
+        for start, kind, end in spans[r["doc_id"]]:
+            if start >= at:
+                out += text[at:start] + f"[{pii.KINDS[kind].upper()}]"
+            at = max(at, end)
+        assert r["text"] == out + text[at:]
+
+
+def test_proposals_leave_base_spans_alone(spark):
+    rows = [r for r in pii.find(spark.createDataFrame(list(enumerate(t for t, _, _ in pii.other_examples(400, 9))), "doc_id long, text string")).collect()]
+    assert sum(len(r["added"]) for r in rows) > 50
+    for r in rows:
+        assert all(a[2] <= b[0] or b[2] <= a[0] for a in r["added"] for b in r["base"])
+        assert all(a == b or a[1] != b[1] or a[2] <= b[0] or b[2] <= a[0] for a in r["added"] for b in r["added"])
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        text = "v 12345; mail bob@x.org or 4111111111111111 call 555-867-5309; " * n
+        began = time.time()
+        (row,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        assert (len(row["base"]), len(row["added"])) == (2 * n, n)
+        return time.time() - began
+
+    seconds(10)
+    few, many = seconds(2000), seconds(16_000)
+    assert many < 8 * few + 8
+
+
 def test_base_spans_stay_in_all_spans(spark):
     for r in queries.op6_pii(spark, SMALL).collect():
         kinds = [s.split(":")[0] for s in r["spans"].split(",") if s]
@@ -202,6 +302,56 @@ def test_whole_licence_files_and_copyright_lines(spark):
     assert sorted(map(str, map(tuple, license_scan.scan(docs).collect()))) == sorted(map(str, con.sql(license_scan.scan_sql()).fetchall()))
 
 
+def test_licences_on_one_line_and_in_other_scripts(spark):
+    mit = license_scan.KNOWN["MIT"][0]
+    texts = [f"Copyright (c) 2020 X. {mit}", f"Copyright 2020 Foo, Inc. All rights reserved. {mit}", f"MIT License\n\nCopyright (c) 2020 John A. Smith\n\n{mit}", "हिन्दी पाठ", "हन्द पठ", "русский текст", "中文", ""]
+    got = [r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [r["license"] for r in got] == ["MIT"] * 3 + [None] * 5
+    assert len({r["digest"] for r in got[3:]}) == 5
+
+
+def plain_lines(text):
+    """The canonical lines of a text by the stated rules, in plain Python."""
+    holder = lambda rest: (w := re.match("[a-z]+", rest)) is not None and w[0] not in license_scan.BODY_WORDS
+
+    def clause(line):
+        body = line.lstrip(" \t*#/;-")
+        if body.startswith("copyright"):
+            rest = body[9:].lstrip(" \t:")
+            spaced = body[9:10] in (" ", "\t", ":") and body[9:].lstrip(" \t:") == rest
+            found = bool(rest) and (rest[0] not in 'abcdefghijklmnopqrstuvwxyz \t:,.;)"\n-' or (spaced and holder(rest)))
+        elif body.startswith("(c)"):
+            rest = body[3:].lstrip(" \t")
+            found = bool(rest) and (not "a" <= rest[0] <= "z" or rest.startswith("copyright") or holder(rest))
+        else:
+            found = body.startswith(("©", "all rights reserved"))
+        if not found:
+            return line
+        m = re.search(r"\.[ \t]+((?:%s)[ \t].*)" % "|".join(license_scan.STARTS), body)
+        return m[1] if m else ""
+
+    out = []
+    for line in text.lower().split("\n"):
+        line = clause(clause(line))
+        for one, other in license_scan.SPELLINGS:
+            line = line.replace(one, other)
+        line = " ".join("".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in line).split())
+        for filler in license_scan.FILLERS:
+            line = line.replace(filler, " ")
+        if line.strip():
+            out.append(line.strip())
+    return out
+
+
+def test_canonical_lines_equal_the_stated_rules(spark):
+    r = random.Random(4)
+    parts = ["Copyright (c) 2020 X.", "copyright holders", "(c) 2001 Foo", "All rights reserved.", "Permission is hereby granted.", "MIT Licence, Version 2.0", "© Bar", "This v 2", "— «слово» १२", "# * ", "\n", "\n\n", "Copyright: nora", "non-commercial", "(C) you must"]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randint(1, 6))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", license_scan.canonical_lines(F.col("text")).alias("lines")).collect()
+    for row in rows:
+        assert row["lines"] == plain_lines(texts[row["doc_id"]]), texts[row["doc_id"]]
+
+
 def test_a_registry_has_a_bound(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "MAX_REGISTRY", 3)
     with pytest.raises(ValueError):
