@@ -6,13 +6,14 @@ pattern cache sees a batch's rows in the order of their ids; late requests are d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicons as L
+from scriptorium.sources import readers
 
 OUT = "signature string, doc_id long, cache_hit boolean, detected string, confidence double"
 STATE = "use_count long, total double, stored long, detected string"
@@ -73,3 +74,27 @@ def failures(detections: DataFrame) -> DataFrame:
     marked = detections.withColumn("reasons", reasons).where(F.size("reasons") > 0)
     stamp = F.date_format("ts", "yyyyMMdd_HHmmss")
     return marked.withColumn("failure_id", F.concat_ws("_", F.lit("fail"), stamp, F.substring("text_hash", 1, 8), "doc_id"))
+
+
+def autosave(stream: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """Keep a stream's rows in a Parquet table, every so often (``every``), or all that there is and then stop."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def upserted(stream: DataFrame, key: str, order: str, save: Callable[[DataFrame], None], load: Callable[[], DataFrame | None], checkpoint: str):
+    """Keep the newest row of each key and how many there were, batch by batch: what was kept is loaded, joined with the batch and saved."""
+
+    def step(batch: DataFrame, _: int) -> None:
+        save(readers.upsert(load(), batch, key, order))
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def failure_log(stream: DataFrame, path: str, checkpoint: str):
+    """A stream's failures appended to a log, of which ``newest_failures`` shows the last ones."""
+    return autosave(failures(stream), path, checkpoint)
+
+
+def newest_failures(spark: SparkSession, path: str, last: int = 500) -> DataFrame:
+    return readers.last_rows(spark.read.parquet(path), last, "ts")

@@ -13,7 +13,7 @@ from scriptorium.functions import lexicons as L
 from scriptorium.functions.dialect import SPARK
 from scriptorium.operators import convert, entities, indic, language, models, ngrams, pandas_text, phonetics, safety, scripts, text, validation
 from scriptorium.operators.settings import Detection
-from scriptorium.plans import analysis
+from scriptorium.plans import analysis, learning, monitor
 from scriptorium.sources import readers
 from scriptorium.streaming import state
 
@@ -330,6 +330,57 @@ def test_rate_limit_stream(spark, tmp_path):
     assert {(r["user_id"], r["requests"], r["over_limit"]) for r in spark.table("limits").collect()} == {(1, 31, True), (2, 1, False), (3, 1, False)}
 
 
+def test_late_requests_are_dropped(spark, tmp_path):
+    schema = "ts timestamp, user_id long"
+    parts = [[(datetime(2024, 1, 1, 2), 1)], [(datetime(2024, 1, 1, 2, 0, 30), 5)], [(datetime(2024, 1, 1, 0), 2), (datetime(2024, 1, 1, 1, 59), 3)], [(datetime(2024, 1, 1, 4), 4)]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    query = state.rate_limits(stream).writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    users = {r["user_id"] for r in spark.table("late").collect()}
+    assert 1 in users and 2 not in users  # two hours late, with a watermark of ten minutes
+
+
+def test_corrections_make_the_cache_forget(spark, tmp_path):
+    rows = [(i, "s", "eng", 0.9, i == 4) for i in range(9)]
+    schema = "doc_id long, signature string, detected string, confidence double, corrected boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    query = state.pattern_cache(stream).writeStream.format("memory").queryName("forgotten").outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert {r["doc_id"] for r in spark.table("forgotten").where("cache_hit").collect()} == {3, 8}
+
+
+def test_logs_of_streams(spark, tmp_path):
+    rows = [(i, datetime(2024, 1, 1, 0, 0, i), lang, conf, "latin_fallback", f"hash{i}", rep, "hin") for i, (lang, conf, rep) in enumerate([("eng", 0.7, False), ("ido", 0.9, False), ("eng", 0.55, True), ("eng", 0.55, False), ("unknown", 0.3, False)])]
+    schema = "doc_id long, ts timestamp, detected string, confidence double, method string, text_hash string, reported boolean, expected string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    assert state.failure_log(stream, str(tmp_path / "log"), str(tmp_path / "c1")).awaitTermination(120)
+    got = {r["doc_id"]: r for r in state.newest_failures(spark, str(tmp_path / "log"), 500).collect()}
+    assert {k: sorted(r["reasons"]) for k, r in got.items()} == {0: ["suspicious_confidence"], 1: ["obscure_language", "suspicious_confidence"], 2: ["user_reported"], 4: ["low_confidence", "unknown_language"]}
+    assert got[0]["failure_id"] == "fail_20240101_000000_hash0_0" and [r["doc_id"] for r in state.newest_failures(spark, str(tmp_path / "log"), 1).collect()] == [4]
+    kept = []
+    query = state.upserted(stream, "detected", "doc_id", lambda df: kept.append({r["detected"]: (r["doc_id"], r["request_count"]) for r in df.collect()}), lambda: None, str(tmp_path / "c2"))
+    assert query.awaitTermination(120) and kept[-1]["eng"] == (3, 3)
+
+
+def test_caches_and_counts(spark):
+    cache = spark.createDataFrame([(f"lang:{i}", i % 3, i / 10) for i in range(9)] + [("sentiment:1", 9, 0.5)], "signature string, use_count int, avg_confidence double")
+    assert learning.evicted(cache, trigger=20).count() == 10 and [r["signature"] for r in learning.evicted(cache, trigger=5, keep=2).collect()] == ["sentiment:1", "lang:8"]
+    assert learning.invalidated(cache, cache.where("use_count = 9")).count() == 9 and readers.without(cache, "signature", "lang:").count() == 1 and readers.without(cache, "signature").count() == 0
+    assert {r["prefix"]: r["keys"] for r in readers.keys_by_prefix(cache, "signature").collect()} == {"lang": 9, "sentiment": 1}
+    fixes = spark.createDataFrame([("lang:1", "mar"), ("lang:1", "hin")], "signature string, correct_language string")
+    assert learning.suggestions(cache, fixes).where("suggestions IS NOT NULL").first()["suggestions"] == ["hin", "mar"]
+    asked = spark.createDataFrame([("a",), ("b",)], "text_hash string")
+    hit, missed = learning.with_cache(asked, spark.createDataFrame([("a", 1)], "text_hash string, response int"))
+    assert hit.count() == 1 and missed.first()["text_hash"] == "b"
+    df, seen = monitor.measured(spark.createDataFrame([("ab",), ("",), (None,)], "text string"), "texts")
+    df.collect()
+    assert seen.get == {"rows": 3, "missing": 1, "blank": 1, "characters": 2, "longest": 2} and monitor.timed(lambda: asked, "asked")["rows"] == 2
+
+
 @pytest.mark.parametrize("code,expected", [("hi", "hi"), ("HIF", "hin"), ("mr_mixed", "mar_mixed"), ("", "unknown"), (None, "unknown"), ("ido", "unknown"), ("en-US", "eng")])
 def test_language_codes(spark, code, expected):
     df = spark.createDataFrame([(code,)], "lang string")
