@@ -455,7 +455,7 @@ def pack(pieces: DataFrame, size: int = 2048, nodes: int = 20_000) -> DataFrame:
         runs = runs_of(pack_histogram(histogram, size, nodes, report))
         _LOG.info("packed %d pieces into %d sequences, at least %d; %d nodes of %d", sum(histogram.values()), report["bins"], report["least"], report["nodes"], nodes)
         # a window's partition is a bucket of bounded size of the pieces of one length
-        buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), sum(histogram.values()) // 50_000)
+        buckets = max(8, sum(histogram.values()) // 50_000)
         dealt = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)))
         counts = materialise(dealt.groupBy("bucket", "length").count())
         before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
