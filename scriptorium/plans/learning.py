@@ -182,7 +182,7 @@ def cache_replay(seen: DataFrame, uses: int = 3, least: float = 0.7, width: int
     stored: the mean of all before is the cache's mean. Sums run within runs of ``width`` ids, on top of the sums of the runs
     before, so that no task has all sightings of a signature that a third of all texts share. The cache starts empty.
     """
-    cut = seen.withColumn("run", F.floor(F.col("doc_id") / width))
+    cut = seen.select("doc_id", "signature", "confidence", F.floor(F.col("doc_id") / width).alias("run"))
     runs = cut.groupBy("signature", "run").agg(F.count("*").alias("n"), F.sum("confidence").alias("total"))
     earlier = Window.partitionBy("signature").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     base = runs.select("signature", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("total").over(earlier), F.lit(0.0)).alias("total0"))
@@ -192,7 +192,8 @@ def cache_replay(seen: DataFrame, uses: int = 3, least: float = 0.7, width: int
     before = F.col("n0") + F.col("nth")
     good = (before >= uses) & (F.round((F.col("total0") + F.col("mine")) / before, 9) >= least)
     first = ranked.where(good).groupBy("signature").agg(F.min("doc_id").alias("first_hit"))
-    return seen.join(first, "signature", "left").select("doc_id", "signature", F.coalesce(F.col("doc_id") >= F.col("first_hit"), F.lit(False)).alias("cache_hit"))
+    # from the rows that are ranked already, so that the detections aren't made once more
+    return ranked.join(first, "signature", "left").select("doc_id", "signature", F.coalesce(F.col("doc_id") >= F.col("first_hit"), F.lit(False)).alias("cache_hit"))
 
 
 def cache_replay_sql(uses: int = 3, least: float = 0.7) -> str:
