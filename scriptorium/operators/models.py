@@ -57,12 +57,13 @@ GOOD, BAD = ("good", "nice", "great", "awesome", "cool", "love", "happy", "best"
 
 def lexicon_sentiment() -> Callable[[Sequence[str]], Sequence[tuple]]:
     """Counts words: the sign of good less bad ones is the label, their share of both the confidence."""
+    good_words, bad_words = frozenset(GOOD), frozenset(BAD)
 
     def score(texts: Sequence[str]) -> list[tuple]:
         out = []
         for t in texts:
             words = t.lower().split()
-            good, bad = sum(w in GOOD for w in words), sum(w in BAD for w in words)
+            good, bad = sum(w in good_words for w in words), sum(w in bad_words for w in words)
             label = "positive" if good > bad else "negative" if bad > good else "neutral"
             out.append((label, max(good, bad) / (good + bad) if good + bad else 0.0, "lexicon"))
         return out
