@@ -3,30 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import ascii_letters
 
 from scriptorium.functions import lexicons as L
 from scriptorium.functions.dialect import Dialect
 from scriptorium.operators.text import Step
 
+_DIGITS = "0123456789"
+#: What a pattern of dates, times or relative dates can begin with.
+_FIRST = {"written": "JFMASONDjfmasond", "days": "YTDytd", "relative": "LNTlnt", "in": "Ii"}
 CALL = r"[\p{L}\p{N}_]+\s*\([^)]*\)"
 
 
+def _none(d: Dialect) -> str:
+    return "cast(array() as array<string>)" if d.name == "spark" else "cast([] as varchar[])"
+
+
+def _money(d: Dialect, column: str) -> str:
+    """Whether a text has a currency's sign or code at all; letters that words end in too must have a number behind."""
+    low = f"lower({column})"
+    signs = " OR ".join(f"contains({column}, {d.text(c)})" for c in "₹$€£¥₽₩₪₦₨")
+    return f"{signs} OR contains({low}, 'inr') OR contains({low}, 'usd') OR contains({low}, 'gbp') OR " + d.matches(low, r"(?:rs\.?|eur)\s*[0-9,]")
+
+
 def financial(d: Dialect) -> Sequence[Step]:
     codes = {k.lower(): v for k, v in L.CURRENCIES.items()} | {c.lower(): c for c in ("INR", "USD", "EUR", "GBP")}
     # a ticker is a whole word that white space, a comma, a full stop or the end follows
+    none = _none(d)
     if d.name == "spark":
-        tickers = d.find_all("text", r"(?<![\p{L}\p{N}_])[A-Z]{2,5}(?=[\s,.]|$)")
+        tickers = d.find_all("text", r"(?=[ABCDEFGHIJKLMNOPQRSTUVWXYZ]{2})(?<![\p{L}\p{N}_])[A-Z]{2,5}(?=[\s,.]|$)")
     else:
         ended = d.find_all("text", r"[\p{L}\p{N}_]+(?:[\s,.]|$)")
         tickers = d.map(d.filter(ended, "w_", d.matches("w_", r"^[A-Z]{2,5}([\s,.]|$)")), "w_", d.one("w_", "^[A-Z]+"))
     part = lambda group: d.map("found_amounts", "a_", d.one("a_", L.AMOUNT, group))
     return [
-        {"low_text": "lower(text)", "found_amounts": d.find_all("text", L.AMOUNT, 0)},
+        {"low_text": "lower(text)", "found_amounts": d.likely(_money(d, "text"), d.find_all("text", L.AMOUNT, 0), none)},
         {
             "currencies": d.sorted(d.map(part(1), "s_", d.lookup("lower(s_)", codes, "upper(s_)"))),
             "amounts": d.sorted(part(2)),
             "units_of_amounts": d.sorted(d.filter(part(3), "u_", "u_ <> ''")),
-            "percentages": d.sorted(d.map(d.find_all("text", L.PERCENT, 1), "p_", "concat(p_, '%')")),
+            "percentages": d.sorted(d.map(d.likely("contains(text, '%')", d.find_all("text", L.PERCENT, 1), none), "p_", "concat(p_, '%')")),
             "tickers": d.sorted(tickers),
             "terms": d.present("low_text", L.FINANCIAL_TERMS),
             "words_total": d.n_words("text"),
@@ -38,16 +54,19 @@ def financial(d: Dialect) -> Sequence[Step]:
 
 
 def temporal(d: Dialect) -> Sequence[Step]:
-    tagged = lambda table: d.sorted(d.concat_arrays(*(d.map(d.find_all("text", p), "m_", f"concat({d.text(k + ':')}, m_)") for k, p in table.items())))
+    tagged = lambda table: d.sorted(d.concat_arrays(*(d.map(d.find_all("text", d.led(p, _FIRST.get(k, _DIGITS))), "m_", f"concat({d.text(k + ':')}, m_)") for k, p in table.items())))
     # most texts have nothing of the kind, which one look tells
-    none = "cast(array() as array<string>)" if d.name == "spark" else "cast([] as varchar[])"
+    none = _none(d)
     only = lambda column, hint, found: f"CASE WHEN {d.matches(column, hint)} THEN {found} ELSE {none} END"
+    dated, near = r"[0-9][-/.][0-9]|\d,?\s+\d{4}", r"yesterday|today|tomorrow|(last|next|this)\s|ago|in\s+\d"
+    if d.name == "spark":
+        dated, near = f"(?:{dated})", f"(?:{near})"
     return [
         {"low_t": "lower(text)"},
         {
-            "dates": only("text", r"[0-9][-/.][0-9]|\d,?\s+\d{4}", tagged(L.DATES)),
+            "dates": only("text", d.led(dated, _DIGITS), tagged(L.DATES)),
             "times": only("text", "[0-9]:[0-9]", tagged(L.TIMES)),
-            "relative_dates": only("low_t", r"yesterday|today|tomorrow|(last|next|this)\s|ago|in\s+\d", d.sorted(d.concat_arrays(*(d.find_all("low_t", p) for p in L.RELATIVE.values())))),
+            "relative_dates": only("low_t", d.led(near, "ytlnai"), d.sorted(d.concat_arrays(*(d.find_all("low_t", d.led(p, _FIRST.get(k, _DIGITS))) for k, p in L.RELATIVE.items())))),
             "months": d.present("low_t", L.MONTHS),
             "days": d.present("low_t", L.DAYS),
             "words_total_t": d.n_words("text"),
@@ -58,15 +77,17 @@ def temporal(d: Dialect) -> Sequence[Step]:
 
 def technical(d: Dialect) -> Sequence[Step]:
     padded = "low_c"
-    none = "cast(array() as array<string>)" if d.name == "spark" else "cast([] as varchar[])"
+    none = _none(d)
     domains = [f"CASE WHEN {d.has_any('low_c', terms)} THEN '{k}' ELSE '' END" for k, terms in sorted(L.TECHNICAL.items())]
+    # a call begins where its name does, as a name that no bracket follows has none behind any part of it
+    call = rf"(?<![{ascii_letters}{_DIGITS}_]){d.word}\s*+\([^)]*\)" if d.name == "spark" else CALL
     # the blanks around it are part of no term
     return [
         {"low_c": "concat(' ', lower(text), ' ')"},
         {
-            "functions": f"CASE WHEN contains(text, '(') THEN {d.sorted(d.find_all('text', CALL))} ELSE {none} END",
-            "scientific_numbers": f"CASE WHEN {d.matches('text', '[0-9.][eE][-+0-9]')} THEN {d.sorted(d.find_all('text', L.SCIENTIFIC))} ELSE {none} END",
-            "measures": f"CASE WHEN {d.matches('text', '[0-9]')} THEN {d.sorted(d.find_all('text', L.UNITS))} ELSE {none} END",
+            "functions": f"CASE WHEN contains(text, '(') THEN {d.sorted(d.find_all('text', call))} ELSE {none} END",
+            "scientific_numbers": f"CASE WHEN {d.matches('text', '[0-9.][eE][-+0-9]')} THEN {d.sorted(d.find_all('text', d.led(L.SCIENTIFIC, _DIGITS)))} ELSE {none} END",
+            "measures": f"CASE WHEN {d.matches('text', '[0-9]')} THEN {d.sorted(d.find_all('text', d.led(L.UNITS, _DIGITS)))} ELSE {none} END",
             "keywords": d.filter(d.array(d.text(k) for k in sorted(L.KEYWORDS)), "k_", f"contains({padded}, concat(' ', k_, ' '))"),
             "domains": d.filter(d.array(domains), "x_", "x_ <> ''"),
             "words_total_c": d.n_words("text"),

@@ -42,7 +42,7 @@ def profanity(d: Dialect, lexicon: Lexicon | None = None) -> Sequence[Step]:
     """Distinct surface forms by severity, their number, the largest severity and its score."""
     lexicon = lexicon or L.profane()
     return [
-        {"prof_runs": d.find_all("text", f"{_WORD}+")},
+        {"prof_runs": d.find_all("text", d.runs(_WORD, "[A-Za-z0-9_]"))},
         {s: _found(d, lexicon[s]) for s in LEVELS},
         {f"n_{s}": d.size(s) for s in LEVELS},
         {

@@ -60,3 +60,19 @@ def test_whole_analysis_of_odd_rows_equals_its_sql(spark, tmp_path):
     df, relation = catalog.QUERIES["analyze_whole"](spark, str(tmp_path)), con.sql(catalog.ORACLES["analyze_whole"])
     at = [relation.columns.index(n) for n in df.columns]
     assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in relation.fetchall())
+
+
+def test_quick_tests_lose_no_entity(spark):
+    texts = [
+        "Rs. 5 USD  7 eur\t9,5 GBP3 inr 1 ₹2 $ 3k €,4 cars 7 EURO 5 Rs5M", "f(x) foo bar (y) é(z) aé (1) a.b(c)(d) été_1\n(e) 中文(f) x1é2(g)", "AB CDE, FGHIJK. éAB ABé AB", "5 % 7.5% 10km 3.5 MB 1e5 2.5E-3",
+        "1/2/2020 on 2020-01-05, 3 Jan 2020 jan 3 2020 Mayhem 3, 2021 at 5:30 pm 17:45:01", "Today IN 3 days, 2 weeks ago this  monday Last year yesterday", "visit http://a.b/c or www.x.y &amp; #tag @me\x1c\x85 end httpx www.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts * 2)))
+    from scriptorium.operators import entities, text
+
+    for steps, keep in ((entities.financial, ["currencies", "amounts", "units_of_amounts", "percentages", "tickers"]), (entities.temporal, ["dates", "times", "relative_dates"]), (entities.technical, ["functions", "scientific_numbers", "measures"]), (text.cleaned, ["clean"])):
+        got = sorted(tuple(r) for r in flow.apply(df, steps, ["doc_id", *keep]).collect())
+        assert got == sorted(con.sql(flow.sql("documents", steps, ["doc_id", *keep])).fetchall())
